@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fotolith.llm import decontamination, quality_rules
+from fotolith.llm import decontamination, jaccard_join, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op6_benchmark_decontamination, op9_quality_rules)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op6_benchmark_decontamination, op9_quality_rules, op10_ngram_jaccard_join)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -68,4 +72,18 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from d left join words using (rid) left join items using (rid)
 """
 
-ORACLE_SQL = {"op6_benchmark_decontamination": _OP6, "op9_quality_rules": _OP9}
+_OP10 = f"""
+with recursive d as (select row_number() over () as rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') as ws from documents),
+g as (select distinct rid, doc_id, case when len(ws) < 5 then array_to_string(ws, ' ') else array_to_string(ws[i : i + 4], ' ') end as g
+  from (select rid, doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from d where len(ws) > 0)),
+n as (select rid, doc_id, count(*) as n from g group by rid, doc_id),
+pr as (select a.rid as ra, b.rid as rb, count(*) as k from g a join g b on a.g = b.g and a.rid < b.rid group by 1, 2),
+link as (select x.doc_id as u, y.doc_id as v from pr join n x on x.rid = ra join n y on y.rid = rb where 100 * k >= 75 * (x.n + y.n - k)),
+edge as (select u, v from link union select v, u from link),
+walk(node, reach) as (select u, v from edge union select walk.node, edge.v from walk join edge on walk.reach = edge.u),
+comp as (select node, min(reach) as c from walk group by node)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) as component_id
+from d left join n using (rid) left join comp on comp.node = d.doc_id
+"""
+
+ORACLE_SQL = {"op6_benchmark_decontamination": _OP6, "op9_quality_rules": _OP9, "op10_ngram_jaccard_join": _OP10}
