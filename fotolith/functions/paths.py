@@ -32,8 +32,9 @@ def extension(path: Column) -> Column:
 
 def kind(path: Column) -> Column:
     """raw, raster, sidecar, video or other."""
-    e = extension(path)
-    return F.when(e.isin(RAW), "raw").when(e.isin(RASTER), "raster").when(e.isin(SIDECAR), "sidecar").when(e.isin(VIDEO), "video").otherwise("other")
+    kinds = {e: k for k, exts in (("raw", RAW), ("raster", RASTER), ("sidecar", SIDECAR), ("video", VIDEO)) for e in exts}
+    table = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, extension(path)), F.lit("other"))
 
 
 def is_indexable(ext: Column) -> Column:
@@ -41,7 +42,7 @@ def is_indexable(ext: Column) -> Column:
 
 
 def bare_stem(name: Column) -> Column:
-    return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
 @F.pandas_udf(StringType())

@@ -570,7 +570,7 @@ def sidecar_export(spark, d):
     return sidecar_plan(frame(spark, d, "photo"), frame(spark, d, "decision"), resolve.primary(frame(spark, d, "file"))).select("photo_id", "status")
 
 
-@query("+ e as (select event_id, concat('u', user_id) as path, case when event_type = 'view' then 'vanished' else 'appeared' end as change, epoch_us(ts) // 1000000 as "at" from events), n as (select *, coalesce(lead("at") over (partition by path order by "at", event_id), 2000000000) as nx from e) select path, change, "at" from n where nx - "at" >= 3000", ("frames",))
+@query("""+ e as (select event_id, concat('u', user_id) as path, case when event_type = 'view' then 'vanished' else 'appeared' end as change, epoch_us(ts) // 1000000 as "at" from events), n as (select *, coalesce(lead("at") over (partition by path order by "at", event_id), 2000000000) as nx from e) select path, change, "at" from n where nx - "at" >= 3000""", ("frames",))
 def settle_debounce(spark, d):
     e = _read(spark, d, "events").selectExpr("event_id", "concat('u', cast(user_id as string)) as path", "case when event_type = 'view' then 'vanished' else 'appeared' end as change", "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts) as at")
     return settle.settled_batch(e, 2_000_000_000, 3000).select("path", "change", "at")
