@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -16,10 +17,13 @@ from fotolith.schemas import schema
 
 def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(files, empty): path, size_bytes and mtime_ns of indexable files below a folder, and those without content.
-    Contents aren't read: only the columns asked for reach the source."""
+    Contents aren't read: only the columns asked for reach the source. The source leaves out files without content, so
+    these come from its listing, which the driver holds for any file source."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
-    rows = raw.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns")).where(P.is_scanned(F.col("path")))
-    return rows.where("size_bytes > 0"), rows.where("size_bytes = 0").select("path")
+    tidy = F.regexp_replace("path", "^file:(//)?(?=/)", "")
+    listed = spark.createDataFrame([(unquote(p),) for p in raw.inputFiles()], "path string").select(tidy.alias("path")).where(P.is_scanned(F.col("path")))
+    rows = raw.select(tidy.alias("path"), F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns")).where(P.is_scanned(F.col("path")))
+    return rows.where("size_bytes > 0"), listed.join(rows.where("size_bytes > 0").select("path"), "path", "left_anti")
 
 
 def contents(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
