@@ -10,8 +10,8 @@ carry the hits along, without a shuffle, so any benchmark size gives the same re
 
 Defined results: null or empty texts have no words and no hits; items without words have no windows; equal items each
 count; repeated document rows give a row each; null item ids are left out of the item list but their windows count as
-hits. An empty benchmark leaves everything clean; empty documents give an empty result. Extra columns pass through;
-columns named like the outputs are replaced.
+hits. An empty benchmark leaves everything clean; empty documents give an empty result. Extra columns pass through,
+those named like measures too.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from fotolith.llm import textkernel as tk
 N_WORDS = 10
 BLOCK_BYTES = 8 << 20
 
-_HITS, _ITEMS = "__hits", "__items"
+_HITS, _ITEMS, _N = "__hits", "__items", "__n_words"
 
 
 class Windows:
@@ -97,7 +97,7 @@ def _pass(batches: Iterator[pa.RecordBatch], bc, text: str) -> Iterator[pa.Recor
             cols = {c: batch.column(c) for c in batch.schema.names}
             cols[_HITS] = pa.array([(a or b"") + (b or b"") or None for a, b in zip(had, hits, strict=True)], pa.binary())
             cols[_ITEMS] = pa.array([sorted({*(a or ()), *b}) for a, b in zip(had_items, items, strict=True)], pa.list_(pa.int64()))
-            cols["n_words"] = pa.array(n, pa.int64())
+            cols[_N] = pa.array(n, pa.int64())
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
@@ -114,16 +114,16 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iter
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = N_WORDS, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) plus n_words, ``__hits`` (int32 pairs: first word, width) and ``__items``."""
+    """The columns ``keep`` (default: all) plus ``__hits`` (int32 pairs: first word, width), ``__items`` and ``__n_words``."""
     sc = docs.sparkSession.sparkContext
-    own = {_HITS, _ITEMS, "n_words"}
+    own = {_HITS, _ITEMS, _N}
     through = [c for c in (docs.columns if keep is None else keep) if c not in own]
     need = [*through, *([text] if text not in through else [])]
-    df = docs.select(*(F.col(f"`{c}`") for c in need), F.lit(None).cast("binary").alias(_HITS), F.lit(None).cast("array<bigint>").alias(_ITEMS), F.lit(0).cast("long").alias("n_words"))
+    df = docs.select(*(F.col(f"`{c}`") for c in need), F.lit(None).cast("binary").alias(_HITS), F.lit(None).cast("array<bigint>").alias(_ITEMS), F.lit(0).cast("long").alias(_N))
     for block in blocks(benchmark, item, item_text, block_bytes):
         bc = sc.broadcast(Windows(block, n))
         df = df.mapInArrow(lambda it, bc=bc: _pass(it, bc, text), df.schema)
-    return df.select(*(F.col(f"`{c}`") for c in through), _HITS, _ITEMS, "n_words")
+    return df.select(*(F.col(f"`{c}`") for c in through), _HITS, _ITEMS, _N)
 
 
 def _word_mask(hits: bytes | None, n: int) -> np.ndarray:
@@ -135,7 +135,7 @@ def _word_mask(hits: bytes | None, n: int) -> np.ndarray:
 
 def _digest(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = batch.column("n_words").to_pylist()
+        n = batch.column(_N).to_pylist()
         hit = [int(_word_mask(h, k).sum()) if h else 0 for h, k in zip(batch.column(_HITS).to_pylist(), n, strict=True)]
         items = batch.column(_ITEMS).to_pylist()
         sha = [hashlib.sha256(",".join(sorted(map(str, x or ()))).encode()).hexdigest() for x in items]
@@ -168,7 +168,7 @@ def _remove(batches: Iterator[pa.RecordBatch], text: str, columns: list[str], ma
     for batch in batches:
         hits = batch.column(_HITS)
         if hits.null_count < len(hits):
-            had, n = hits.to_pylist(), batch.column("n_words").to_pylist()
+            had, n = hits.to_pylist(), batch.column(_N).to_pylist()
             stays = [not h or bool(_word_mask(h, k).sum() <= max_share * k) for h, k in zip(had, n, strict=True)]
             new = [_without_spans(t, h) if s else t for t, h, s in zip(batch.column(text).to_pylist(), had, stays, strict=True)]
             cols = {c: batch.column(c) for c in columns} | {text: pa.array(new, batch.schema.field(text).type)}
