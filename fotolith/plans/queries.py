@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fotolith.functions import media, paths
 from fotolith.operators import grid, ranks, resolve, scoring, sessions, tables, vectors
 from fotolith.plans.catalog import score_library
+from fotolith.plans.checkpoint import cutter
 from fotolith.plans.datasets import ctes, frame
 from fotolith.sources.files import sidecar_plan
 from fotolith.streaming import settle
@@ -462,7 +463,7 @@ def knn_graph(spark, d):
 
 @query()
 def whispers_clusters(spark, d):
-    return vectors.clusters(vectors.knn_graph(frame(spark, d, "face").select("id", "vector"), block=256), lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) else df.cache())
+    return vectors.clusters(vectors.knn_graph(frame(spark, d, "face").select("id", "vector"), block=256), cutter(spark))
 
 
 @query("""+ x as (select person_id, unnest(range(64)) as i, unnest(vector::double[]) as x from t_face), m as (select person_id, i, avg(x) as x from x group by 1, 2),
