@@ -4,12 +4,13 @@
    input size) tells frequent shingles from rare ones. It only sets the order of shingles, never what is found.
 2. ``_describe``: each document gets the size and a 128-bit identity of its shingle set, and its prefix: by the order
    (frequency level, hash), the first n - ceil(tn) + 1 shingles. Two sets that reach the similarity share a shingle of
-   their prefixes, one of which is among the first n - ceil(2tn / (1 + t)) + 1 of the smaller set.
+   their prefixes, and at the first such shingle both still have the overlap ahead that their sizes ask for.
 3. Equal sets are one node. Documents of equal prefix and size are one group, and only groups meet on shingles.
-4. Group pairs: within each shingle every group meets the smallest one only (a star, linear in the rows); size and
+4. Group pairs: within each shingle every group meets one only, the one whose prefix most others share and of these only the one it meets most (a star, one
+   pair a group); size and
    prefix bounds filter the pairs, which expand to members and are verified on the texts. Linked sets become one
-   component. Then pairs that share a prefix shingle and still are in different components are verified too, so no
-   link between components is lost, while members of one component never meet again.
+   component. Then pairs that share a prefix shingle and still are in different components are counted: those that
+   share as many as similar sets must are verified too, so no link between components is lost, while members of one component never meet again.
 
 Hot groups: copies collapse in step 3 before they meet anything, near copies are compared with a star's centre first.
 Counts, sketches and minima combine on the map side; joins are plain equi joins that adaptive execution splits when
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fotolith.llm import bitfilter
 from fotolith.llm import textkernel as tk
 from fotolith.llm.components import components
 from fotolith.llm.scratch import Scratch
@@ -38,9 +40,8 @@ WORDS = 5
 #: The similarity as a fraction: links have 100 * intersection >= 75 * union.
 NUM, DEN = 3, 4
 #: Counters of the sketch and slices it is summed in.
-BUCKETS, SLICES = 1 << 20, 64
-#: Bits of the fixed-size filter for the texts that verification needs.
-FILTER_BITS = 1 << 26
+BUCKETS, SLICES = 1 << 21, 64
+_BUCKET_SHIFT = np.uint64(64 - 21)
 _MAX_ROWS = 4096
 
 
@@ -77,7 +78,7 @@ def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
     total = np.zeros(BUCKETS, np.int64)
     for batch in _pieces(batches, "text"):
         _, s = shingle_sets(batch.column("text"), k)
-        total += np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
+        total += np.bincount((s >> _BUCKET_SHIFT).astype(np.int64), minlength=BUCKETS)
     parts = np.minimum(total, 65535).astype(np.uint16).reshape(SLICES, -1)
     yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "counts"])
 
@@ -92,13 +93,15 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Level of each bucket: how many times as full as the mean, as a power of two (0 to 14)."""
+    """Level of each bucket: 0 up to four standard deviations above the mean, then one more for each doubling. What
+    chance puts into a bucket stays below, so levels above 0 mark frequent shingles at any size of the input."""
     parts = docs.mapInArrow(lambda it: _count(it, k), "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(_sum_slices, "slice int, counts binary")
     total = np.zeros((SLICES, BUCKETS // SLICES))
     for r in parts.toLocalIterator():
         total[r[0]] += np.frombuffer(r[1], np.int64)
     total = total.ravel()
-    return np.clip(np.log2(np.maximum(total, 1) / max(total.mean(), 1)).round() + 1, 0, 14).astype(np.uint8)
+    mean = max(total.mean(), 0.25)
+    return np.clip(np.floor(np.log2(np.maximum((total - mean) / np.sqrt(mean), 1e-9) / 4)) + 1, 0, 15).astype(np.uint8)
 
 
 def _describe(batches: Iterator[pa.RecordBatch], k: int, levels) -> Iterator[pa.RecordBatch]:
@@ -117,7 +120,7 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int, levels) -> Iterator[pa.
             return c[ends] - c[starts]
 
         s1, s2 = tk.mix(sums(tk.mix(s ^ np.uint64(0x5851F42D4C957F2D))) + n.astype(np.uint64)), tk.mix(sums(tk.mix(s + np.uint64(0x14057B7EF767814F))) ^ n.astype(np.uint64))
-        order = np.argsort((row * 16 + level[(s >> np.uint64(44)).astype(np.int64)]).astype(np.uint16), kind="stable")
+        order = np.argsort((row * 16 + level[(s >> _BUCKET_SHIFT).astype(np.int64)]).astype(np.uint16), kind="stable")
         s = s[order]  # rows stay together, by level, then by hash
         length = np.where(n > 0, n - -(-NUM * n // DEN) + 1, 0)
         place = np.arange(len(s)) - starts[row]
@@ -135,41 +138,11 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int, levels) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(group), pa.array(lead), batch.column("h"), tokens], names=["doc_id", "n", "s1", "s2", "gk", "lead", "h", "prefix"])
 
 
-def _bloom_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 64 KB pages of a bit filter that this task's keys touch."""
-    pages: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for bit in _bits(batch.column("h").to_numpy(zero_copy_only=False)):
-            page, at = bit >> 19, bit & ((1 << 19) - 1)
-            for p in np.unique(page).tolist():
-                own = at[page == p]
-                np.bitwise_or.at(pages.setdefault(p, np.zeros(1 << 16, np.uint8)), own >> 3, (1 << (own & 7)).astype(np.uint8))
-    if pages:
-        yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int32()), pa.array([x.tobytes() for x in pages.values()], pa.binary())], names=["slice", "counts"])
-
-
-def _or_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pages: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            pages[k] = pages[k] | np.frombuffer(raw, np.uint8) if k in pages else np.frombuffer(raw, np.uint8)
-    if pages:
-        yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int32()), pa.array([x.tobytes() for x in pages.values()], pa.binary())], names=["slice", "counts"])
-
-
-def _bits(h: np.ndarray) -> list[np.ndarray]:
-    x = tk.mix(h.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
-    top = np.uint64(64 - (FILTER_BITS - 1).bit_length())
-    return [(x >> top).astype(np.int64), (tk.mix(x + np.uint64(1)) >> top).astype(np.int64)]
-
-
 def _needed_texts(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
-    table, seen = bits.value, set()
+    seen: set[int] = set()
     for batch in batches:
         h = batch.column("h").to_numpy(zero_copy_only=False)
-        maybe = np.ones(len(h), bool)
-        for b in _bits(h):
-            maybe &= (table[b >> 3] >> (b & 7) & 1).astype(bool)
+        maybe = bitfilter.might_contain(bits.value, h)
         for i in np.flatnonzero(maybe).tolist():
             if (x := int(h[i])) in seen:
                 maybe[i] = False
@@ -205,25 +178,46 @@ class JaccardJoin:
         out = self.docs.withColumn("h", F.xxhash64("text")).mapInArrow(lambda it: _describe(it, k, levels), "doc_id long, n long, s1 long, s2 long, gk long, lead boolean, h long, prefix array<bigint>")
         return self.scratch.write(out, "described")
 
-    def _texts(self, nodes: DataFrame) -> DataFrame:
+    def _texts(self, nodes: DataFrame, name: str) -> DataFrame:
         """(node, text) for nodes (node, h), written out; h is the hash of the text of the row that the node stands for."""
-        key = F.xxhash64("node", "h").alias("h")
-        parts = nodes.select(key).mapInArrow(_bloom_part, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(_or_pages, "slice int, counts binary")
-        table = np.zeros(FILTER_BITS // 8, np.uint8).reshape(-1, 1 << 16)
-        for r in parts.toLocalIterator():
-            table[r[0]] |= np.frombuffer(r[1], np.uint8)
-        bits = self.spark.sparkContext.broadcast(table.ravel())
+        key = F.xxhash64("node", "h")
+        bits = bitfilter.build(nodes.select(key))
         keyed = self.docs.where("doc_id is not null").select(F.xxhash64("doc_id", F.xxhash64("text")).alias("h"), "doc_id", "text")
         texts = keyed.mapInArrow(lambda it: _needed_texts(it, bits), "h long, node long, text string")
-        joined = texts.join(nodes.select("node", key), ["node", "h"]).select("node", "text").dropDuplicates(["node"])
-        return self.scratch.write(joined, "texts")
+        joined = texts.join(nodes.select("node", key.alias("own")), "node").where("h = own").select("node", "text").dropDuplicates(["node"])
+        return self.scratch.write(joined, name, release=True)
 
-    def _links(self, pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    def _links(self, pairs: DataFrame, members: DataFrame, name: str) -> DataFrame:
+        """The pairs (u, v) whose texts are similar, written out."""
         k = self.k
+        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(members.select("node", "h"), "node")
+        texts = self._texts(nodes, f"texts_{name}")
         left = texts.select(F.col("node").alias("u"), F.col("text").alias("ta"))
         right = texts.select(F.col("node").alias("v"), F.col("text").alias("tb"))
         both = pairs.join(left, "u").join(right, "v").select("u", "v", "ta", "tb")
-        return self.scratch.write(both.mapInArrow(lambda it: _verify(it, k), "u long, v long"), name)
+        return self.scratch.write(both.mapInArrow(lambda it: _verify(it, k), "u long, v long"), name, release=True)
+
+    @staticmethod
+    def _meeting(rows: DataFrame, w) -> DataFrame:
+        """Rows whose place lets the sets still reach the overlap with the smallest set on the same shingle (or of the
+        smallest size that can be similar at all)."""
+        least = F.greatest(F.min("n").over(w), F.ceil(F.col("n") * NUM / DEN))
+        return rows.withColumn("least", least).where(f"place <= n - ({NUM} * (n + least) + {NUM + DEN - 1}) div {NUM + DEN}").drop("least")
+
+    #: The shingles that similar sets of nu and nv have in common at least.
+    OVERLAP = f"({NUM} * (nu + nv) + {NUM + DEN - 1}) div {NUM + DEN}"
+
+    @classmethod
+    def _sharing_enough(cls, pairs: DataFrame, shared: DataFrame) -> DataFrame:
+        """Pairs whose prefixes have as many shingles in common as similar sets must have: of u's shingles at most
+        nu - overlap are not in v, so the k-th common one stands at place k - 1 + nu - overlap at most, in v likewise."""
+        overlap = cls.OVERLAP
+        groups = pairs.select("gu", "nu", "gv", "nv").distinct()
+        one, two = (shared.selectExpr("token", f"gk as g{side}", f"n as n{side}") for side in "uv")
+        counts = groups.join(one, ["gu", "nu"]).join(two, ["gv", "nv", "token"]).groupBy("gu", "nu", "gv", "nv").agg(F.count("*").alias("k"))
+        # a prefix has n - ceil(tn) + 1 places, of which nu - overlap may hold what the other set lacks
+        enough = counts.withColumn("need", F.expr(f"least({overlap} + 1 - ({NUM} * nu + {DEN - 1}) div {DEN}, {overlap} + 1 - ({NUM} * nv + {DEN - 1}) div {DEN})")).where("k >= need")
+        return pairs.join(enough.select("gu", "nu", "gv", "nv"), ["gu", "nu", "gv", "nv"], "left_semi")
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every row."""
@@ -237,41 +231,46 @@ class JaccardJoin:
         base = s.write(base, "base")
         members = sets.select("gk", "n", "node", "h")
 
-        # groups on shingles; 'ix': within the shorter prefix that a smaller set needs
-        rows = known.where("lead").select("gk", "n", F.posexplode("prefix").alias("place", "token"))
-        rows = rows.select("token", "gk", "n", (F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * NUM) / (NUM + DEN))).alias("ix"))
+        # groups on shingles
+        rows = known.where("lead").select("gk", "n", F.posexplode("prefix").alias("place", "token")).select("token", "gk", "n", "place")
         w = Window.partitionBy("token")
-        low = F.min(F.when(F.col("ix"), F.struct("n", "gk"))).over(w)
-        shared = rows.withColumns({"a": F.min("gk").over(w), "b": F.max("gk").over(w), "low": low}).where("a < b and low is not null")
-        shared = s.write(shared.select("token", "gk", "n", "ix", F.col("low.gk").alias("cgk"), F.col("low.n").alias("cn")), "shared")
+        shared = rows.withColumns({"a": F.min("gk").over(w), "b": F.max("gk").over(w), "met": F.count("*").over(w)}).where("a < b")
+        shared = s.write(shared.select("token", "gk", "n", "place", "met"), "shared", release=True)
         s.drop("described")
 
-        star = shared.where(f"gk != cgk and {NUM} * n <= {DEN} * cn and n >= cn").select("cgk", "cn", "gk", "n").distinct()
+        # the centre of a shingle: the group whose prefix is shared most, which is nearest to what all were copied from
+        heat = shared.groupBy("gk", "n").agg(F.sum(F.col("met") - 1).alias("heat")).withColumn("heat", F.col("heat") / (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1))
+        hottest = F.max_by(F.struct("gk", "n"), F.struct("heat", "gk", "n")).over(w)
+        star = shared.select("token", "gk", "n").join(heat, ["gk", "n"]).withColumn("c", hottest).select(F.col("c.gk").alias("cgk"), F.col("c.n").alias("cn"), "gk", "n")
+        star = star.where(f"gk != cgk and {NUM} * n <= {DEN} * cn and {NUM} * cn <= {DEN} * n").groupBy("gk", "n", "cgk", "cn").agg(F.count("*").alias("k"))
+        # of a group's centres the one it meets on most shingles
+        star = star.groupBy("gk", "n").agg(F.max_by(F.struct("cgk", "cn"), F.struct("k", "cgk")).alias("c")).selectExpr("gk as gu", "n as nu", "c.cgk as gv", "c.cn as nv")
+        star = self._sharing_enough(s.write(star, "star"), shared).selectExpr("gu as gk", "nu as n", "gv as cgk", "nv as cn")
         centre = members.groupBy("gk", "n").agg(F.min("node").alias("u"), F.count("*").alias("size"))
         across = star.join(centre.select(F.col("gk").alias("cgk"), F.col("n").alias("cn"), "u"), ["cgk", "cn"]).join(members, ["gk", "n"]).select("u", F.col("node").alias("v"))
         within = members.join(centre.where("size > 1"), ["gk", "n"]).select("u", F.col("node").alias("v"))
         pairs = across.union(within).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         pairs = s.write(pairs, "pairs1")
-        active = shared.select("gk", "n").distinct().union(centre.where("size > 1").select("gk", "n")).distinct()
-        nodes = members.join(active, ["gk", "n"], "left_semi").select("node", "h")
-        texts = self._texts(nodes)
-        links = self._links(pairs, texts, "links1")
+        links = self._links(pairs, members, "links1")
         first = components(links, s, "c1")
 
         # whatever still is apart and shares a prefix shingle
         label = members.select("gk", "n", "node").join(first, "node", "left").select("gk", "n", "node", F.coalesce("component", "node").alias("c"))
-        apart = shared.select("token", "gk", "n", "ix").distinct().join(label, ["gk", "n"])
-        apart = apart.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo < hi").select("token", "node", "n", "ix", "c")
+        apart = shared.select("token", "gk", "n", "place").distinct().join(label, ["gk", "n"])
+        apart = self._meeting(apart, w).withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo < hi").select("token", "node", "gk", "n", "place", "c")
         apart = s.write(apart, "apart")
-        a, b = apart.where("ix").select("token", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu")), apart.select("token", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"))
-        rest = a.join(b, "token").where(f"cu != cv and nu <= nv and {NUM} * nv <= {DEN} * nu").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        a, b = (apart.selectExpr("token", f"node as {side}", f"gk as g{side}", f"n as n{side}", f"place as p{side}", f"c as c{side}") for side in "uv")
+        overlap = self.OVERLAP
+        rest = a.join(b, "token").where(f"cu != cv and (nu < nv or nu = nv and u < v) and {NUM} * nv <= {DEN} * nu and pu <= nu - {overlap} and pv <= nv - {overlap}")
+        rest = s.write(rest.select("u", "v", "gu", "nu", "gv", "nv").distinct(), "met")
+        rest = self._sharing_enough(rest, shared).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         # groups of one prefix whose members the star left apart
         same = label.join(centre.where("size > 1").select("gk", "n"), ["gk", "n"])
         inner = same.select("gk", "n", F.col("node").alias("u"), F.col("c").alias("cu")).join(same.select("gk", "n", F.col("node").alias("v"), F.col("c").alias("cv")), ["gk", "n"]).where("cu != cv and u < v").select("u", "v")
         rest = rest.union(inner).distinct().join(pairs, ["u", "v"], "left_anti")
-        links = links.union(self._links(s.write(rest, "pairs2"), texts, "links2"))
+        links = links.union(self._links(s.write(rest, "pairs2"), members, "links2"))
         final = components(links, s, "c2")
-        s.drop("shared", "apart", "texts", "pairs1", "pairs2", "sets")
+        s.drop("shared", "apart", "met", "star", "texts_links1", "texts_links2", "pairs1", "pairs2", "sets")
         return base.join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
 
 

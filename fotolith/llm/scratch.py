@@ -22,9 +22,13 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
+        """Writes a table and reads it again. ``release``: the shuffle files of what went before are wanted no more; Spark
+        deletes them once the driver's JVM has collected their owners, which it may otherwise not do for half an hour."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        if release:
+            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
