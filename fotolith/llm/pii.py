@@ -2,10 +2,16 @@
 
 Base spans are exact patterns with their checks (``base_spans``); they always stay. High-recall generators propose
 further spans, overlapping ones too; each candidate has a few yes/no features of its format and its context, which
-make up a small integer code. One aggregation over all documents counts codes and how often such a candidate is a base
-span; at most kinds x 2^8 rows reach the driver, at any input size. Boosted trees are fitted to that table there, and
-calibration picks, for each kind, the codes whose score has the wanted precision. Scoring is a lookup of the code, so
-no Python runs on the executors and nothing but the small counts is shuffled.
+make up a small integer code. What tells a base span from a wider form of the same data ("@" or "(at)", the separators
+of a card, the "+" of a phone) is no feature, so both share codes. The label is evidence that doesn't ask for the base
+pattern: a common top-level domain or a cue word, the Luhn digit, a bracketed area code or a cue word. One aggregation
+over all documents counts codes, evidence and base spans; at most kinds x 2^8 rows reach the driver, at any input
+size. Boosted trees are fitted to that table there, and calibration picks, for each kind, the codes that are estimated
+to have the wanted precision (``_estimate``). Scoring is a lookup of the code, so no Python runs on the executors and
+nothing but the small counts is shuffled.
+
+A candidate that can't be of its kind is neither counted nor added (``_POSSIBLE``). An address has four octets, so
+each possible ip candidate is a base span and the method adds none.
 
 Patterns are possessive and anchored by look-behinds, so they take time linear in the text, long runs of one character
 class included. Offsets are code points, ends exclusive.
@@ -70,20 +76,17 @@ def _cue(words: str) -> Callable[[Column, Column, Column], Column]:
     return lambda m, b, a: b.rlike(rf"(?i)(?:{words})[^A-Za-z0-9]*$")
 
 
-#: Yes/no features of a candidate (match, text before, text after), at most eight for each kind.
+#: Yes/no features of a candidate (match, text before, text after), at most eight for each kind. None of them says
+#: whether the candidate fits the base pattern, nor what its evidence is.
 FEATURES: dict[str, list[Callable[[Column, Column, Column], Column]]] = {
     "email": [
-        lambda m, b, a: m.rlike(r"[.][A-Za-z]{2,8}$"),
-        lambda m, b, a: F.contains(m, F.lit("@")),
-        lambda m, b, a: F.contains(m, F.lit(" ")),
+        lambda m, b, a: m.rlike(r"(?<![A-Za-z0-9-])[A-Za-z]{2,8}$"),
+        lambda m, b, a: m.rlike(r"[A-Za-z0-9-][.] "),
         lambda m, b, a: m.rlike(r"^[A-Za-z0-9]"),
-        lambda m, b, a: m.rlike(r"(?i)[(\[] ?(?:at|dot)"),
+        lambda m, b, a: m.rlike(r"^[0-9]++[^A-Za-z0-9._%+-]"),
         lambda m, b, a: a.rlike(r"^[@A-Za-z0-9]"),
-        _cue("mail|contact|write|to|from"),
     ],
     "ip": [
-        lambda m, b, a: m.rlike(r"^(?:[0-9]+\.){3}[0-9]+$"),
-        lambda m, b, a: _octets(m),
         lambda m, b, a: m.rlike(r"(?:^|\.)0[0-9]"),
         lambda m, b, a: b.rlike(r"[A-Za-z0-9_/-]$"),
         lambda m, b, a: a.rlike(r"^[A-Za-z0-9_-]"),
@@ -91,28 +94,45 @@ FEATURES: dict[str, list[Callable[[Column, Column, Column], Column]]] = {
         _cue("ip|address|host|server|from"),
     ],
     "card": [
-        lambda m, b, a: F.length(_digits(m)).between(14, 19),
-        lambda m, b, a: _luhn(m),
-        lambda m, b, a: m.rlike(r"^[0-9]{4}([ ./-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}$"),
-        lambda m, b, a: m.rlike(r"[./]"),
+        lambda m, b, a: F.length(_digits(m)) == 16,
+        lambda m, b, a: m.rlike(r"^[0-9]+$"),
+        lambda m, b, a: m.rlike(r"^[0-9]{4}([ ./-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}$|^[0-9]{4}([ ./-]?)[0-9]{6}\2[0-9]{5}$"),
         lambda m, b, a: m.rlike(r"^[3-6]"),
         lambda m, b, a: b.rlike(r"[A-Za-z0-9+.]$"),
+        lambda m, b, a: a.rlike(r"^[A-Za-z]"),
         _cue("card|visa|pay|credit"),
     ],
     "phone": [
-        lambda m, b, a: F.length(_digits(m)).between(10, 15),
-        lambda m, b, a: m.startswith("+"),
-        lambda m, b, a: m.rlike(r"[(][0-9]{2,4}[)]"),
-        lambda m, b, a: m.rlike(r"[0-9]{3}[ .-][0-9]{4}$"),
-        lambda m, b, a: m.rlike(r"^[0-9]+$"),
+        lambda m, b, a: m.rlike(r"(?<![0-9])[0-9]{3}[ .-][0-9]{4}$"),
+        lambda m, b, a: m.rlike(r"^[+]?[0-9]+$"),
         lambda m, b, a: m.rlike(r"[0-9]\.[0-9]+\.[0-9]"),
+        lambda m, b, a: b.rlike(r"[#$/_-]$"),
         lambda m, b, a: a.rlike(r"^[A-Za-z0-9/]"),
-        _cue("phone|tel|call|mobile|fax"),
+        lambda m, b, a: m.rlike(r"[0-9]{7}"),
     ],
 }
 
+#: Common top-level domains that are no words.
+_TOP = "com|org|net|edu|gov|mil|info|biz|io|dev|app|eu|uk|fr|ca|jp|cn|br|ru|pl|nl|ch"
+#: Evidence that a candidate is of its kind, whether or not it fits the base pattern.
+_EVIDENCE: dict[str, Callable[[Column, Column, Column], Column]] = {
+    "email": lambda m, b, a: m.rlike(rf"(?i)[. )\]](?:{_TOP})$") | _cue(r"(?<![a-z])(?:e-?mail|contact|write|reach)(?: (?:me|us|to|at))*")(m, b, a),
+    "ip": lambda m, b, a: _octets(m),
+    "card": lambda m, b, a: _luhn(m),
+    "phone": lambda m, b, a: m.rlike(r"[(][0-9]{2,4}[)]") | _cue(r"(?<![a-z])(?:phone|telephone|tel|call|mobile|fax)(?: (?:me|us|at|on))*")(m, b, a),
+}
+#: What a candidate of the kind must be in any form, besides the evidence where it is a check of the digits.
+_POSSIBLE: dict[str, Callable[[Column], Column]] = {
+    "email": lambda m: m.rlike(r"[A-Za-z][A-Za-z0-9-]*$"),
+    "ip": lambda m: (F.size(F.split(m, r"\.")) == 4) & _octets(m),
+    "card": lambda m: F.length(_digits(m)).between(13, 19),
+    "phone": lambda m: F.length(_digits(m)).between(9, 15),
+}
+#: Kinds whose evidence is a check that every true one passes: no candidate is added without it.
+_CHECKED = ("card",)
+
 _SPAN = "array<struct<s:int,k:int,e:int>>"
-_CAND = "array<struct<s:int,k:int,e:int,code:int,base:boolean>>"
+_CAND = "array<struct<s:int,k:int,e:int,code:int,base:boolean,evid:boolean>>"
 
 
 def _walk(text: Column, pattern: str, kind: int, schema: str, made: Callable[[Column, Column, Column, Column, Column], Column]) -> Column:
@@ -145,7 +165,7 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<s, k, e, code, base>> of the generators' spans."""
+    """array<struct<s, k, e, code, base, evid>> of the generators' spans that can be of their kind."""
     every = []
     for k, kind in enumerate(KINDS):
 
@@ -154,7 +174,8 @@ def candidates(text: Column) -> Column:
             for i, f in enumerate(FEATURES[kind]):
                 code = code + F.when(f(m, b, a), 1 << i).otherwise(0)
             base = m.rlike(f"^(?:{BASE[kind]})$") & _VALID[kind](m)
-            return F.array(F.struct(s.alias("s"), F.lit(k).alias("k"), e.alias("e"), code.alias("code"), base.alias("base")))
+            found = F.struct(s.alias("s"), F.lit(k).alias("k"), e.alias("e"), code.alias("code"), base.alias("base"), _EVIDENCE[kind](m, b, a).alias("evid"))
+            return F.when(_POSSIBLE[kind](m), F.array(found)).otherwise(F.array().cast(_CAND))
 
         maybe = text.rlike("@|(?i:[(\\[] ?at)") if kind == "email" else text.rlike("[0-9][^A-Za-z]{1,3}[0-9]|[0-9]{9}")
         every.append(F.when(maybe, _walk(text, WIDE[kind], k, _CAND, made)).otherwise(F.array().cast(_CAND)))
@@ -190,24 +211,36 @@ def boost(codes: np.ndarray, yes: np.ndarray, no: np.ndarray, bits: int, rounds:
     return 1 / (1 + np.exp(-margin))
 
 
+def _estimate(kind: str, yes: np.ndarray, no: np.ndarray, base: np.ndarray, seen: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each code, how many candidates a choice of it redacts and how many of these are estimated to be true.
+
+    Where evidence is a check, only candidates that pass are redacted, and the limit on the score keeps out formats that
+    mostly fail it, which pass by chance. Elsewhere true ones show evidence as often as base spans do (``seen``)."""
+    if kind in _CHECKED:
+        return yes, yes
+    return yes + no, np.minimum(np.maximum(yes / seen, base), yes + no)
+
+
 def fit(docs: DataFrame, text: str = "text", precision: float = 0.98) -> Model:
     """Fits and calibrates on the counts of all documents' candidates."""
     found = docs.select(F.explode(candidates(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("c"))
-    counts = found.groupBy("c.k", "c.code").agg(F.count_if(F.col("c.base")).alias("yes"), F.count_if(~F.col("c.base")).alias("no"))
+    counts = found.groupBy("c.k", "c.code").agg(F.count_if(F.col("c.evid")).alias("yes"), F.count_if(~F.col("c.evid")).alias("no"), F.count_if(F.col("c.base")).alias("base"), F.count_if(F.col("c.base") & F.col("c.evid")).alias("both"))
     rows = counts.collect()  # at most 2^8 codes for each of four kinds
     chosen, scores = [], []
     for k, kind in enumerate(KINDS):
-        own = sorted((r.code, r.yes, r.no) for r in rows if r.k == k)
+        own = sorted((r.code, r.yes, r.no, r.base, r.both) for r in rows if r.k == k)
         if not own:
             chosen.append(frozenset())
             scores.append({})
             continue
-        codes, yes, no = (np.array(c) for c in zip(*own, strict=True))
+        codes, yes, no, base, both = (np.array(c) for c in zip(*own, strict=True))
+        seen = (both.sum() + 1) / (base.sum() + 1)
         score = boost(codes, yes.astype(float), no.astype(float), len(FEATURES[kind]))
+        hits, true = _estimate(kind, yes, no, base, seen)
         order = np.argsort(-score, kind="stable")
-        reached = np.cumsum(yes[order]) >= precision * np.cumsum((yes + no)[order])
+        reached = np.cumsum(true[order]) >= precision * np.cumsum(hits[order])
         most = int(np.flatnonzero(reached)[-1]) + 1 if reached.any() else 0
-        limit = max(0.5, score[order[most - 1]]) if most else 2.0
+        limit = max(0.5 * seen, score[order[most - 1]]) if most else 2.0
         chosen.append(frozenset(codes[score >= limit].tolist()))
         scores.append(dict(zip(codes.tolist(), score.tolist(), strict=True)))
     return Model(tuple(chosen), tuple(scores))
@@ -222,7 +255,8 @@ def all_spans(text: Column, base: Column, model: Model) -> Column:
         fits = F.lit(False)
         for k, codes in enumerate(model.chosen):
             if codes:
-                fits = fits | ((c["k"] == k) & c["code"].isin(*sorted(codes)))
+                own = (c["k"] == k) & c["code"].isin(*sorted(codes))
+                fits = fits | (own & c["evid"] if KINDS[k] in _CHECKED else own)
         return fits & ~c["base"] & ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
 
     more = F.transform(F.filter(candidates(text), wanted), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
