@@ -130,8 +130,9 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int, levels) -> Iterator[pa.
         np.cumsum(tk.mix(prefix ^ np.uint64(0x2545F4914F6CDD1D)), out=c[1:])
         group = tk.mix((c[offsets[1:]] - c[offsets[:-1]]) ^ tk.mix(n.astype(np.uint64))).view(np.int64)
         lead = np.zeros(rows, bool)
+        linkable = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False) & (n > 0)
         for i, g in enumerate(group.tolist()):
-            if g not in seen:
+            if linkable[i] and g not in seen:
                 seen.add(g)
                 lead[i] = True
         tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(prefix.view(np.int64)))
