@@ -2,8 +2,9 @@
 
 Rules decide what they fit. Their decisions are the training text of two smoothed variable-order Markov models, one of
 accepted and one of rejected URLs: character counts in contexts of up to ``order`` characters, interpolated from the
-longest context seen down to the uniform distribution (Witten-Bell). The score of a URL is the difference of its two
-log-likelihoods per character. The threshold is calibrated on a fifth of the decided URLs, which the models don't see,
+longest context seen down to the uniform distribution (Witten-Bell). They read the whole URL, scheme, query and fragment
+included, with the case of scheme and host ignored; only the rules look at host and path alone. The score of a URL is
+the difference of its two log-likelihoods per character. The threshold is calibrated on a fifth of the decided URLs, which the models don't see,
 as the point between both means weighted by their spread.
 
 Everything is counted over all rows. Equal URLs are one row with a weight; n-grams are combined before the shuffle, and
@@ -58,6 +59,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def whole(url: Column) -> Column:
+    """The whole URL as the models read it: scheme and host in lower case; empty without "://"."""
+    parts = [F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)(.*)$", i) for i in (1, 2)]
+    return F.coalesce(F.concat(F.translate(parts[0], _UPPER, _LOWER), parts[1]), F.lit(""))
+
+
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """The number of the longest rule that fits, or null."""
     out = None
@@ -105,7 +112,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple
     u = F.col(f"`{url}`")
     host, path = host_and_path(u)
     rows = pages.select(F.col(f"`{key}`"), u.alias("__url"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumns({"__rule": rule_of(F.col("host"), F.col("path"), rules), "body": F.concat("host", "path")})
+    rows = rows.withColumns({"__rule": rule_of(F.col("host"), F.col("path"), rules), "body": whole(F.col("__url"))})
     urls = rows.groupBy("body").agg(F.count("*").alias("weight"), F.min("__rule").alias("rule"))
     verdicts = F.array(*(F.lit(r.allow) for r in rules)) if rules else F.array().cast("array<boolean>")
     urls = urls.withColumns({"allow": F.get(verdicts, F.col("rule")), "held": F.pmod(F.xxhash64("body"), F.lit(fold)) == 0})
