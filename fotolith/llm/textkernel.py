@@ -1,22 +1,29 @@
 """numpy kernels over Arrow string columns, shared by the text operators.
 
-A column of texts is one UTF-8 byte buffer with row offsets. Word, line and n-gram hashes come from one
-wrapping prefix polynomial over that buffer, so no Python object is made per word. The kernels work on slices of at
-most ``CHUNK_BYTES`` of text (or one longer text), which bounds the memory of a Python worker by the longest text.
+A column of texts is one UTF-8 byte buffer with row offsets. Word and line hashes come from one prefix polynomial over
+that buffer, modulo the prime 2^61 - 1 (a power of two would let Thue-Morse strings collide), so no Python object is
+made per word. The kernels work on slices of at most ``CHUNK_BYTES`` of text (or one longer text), which bounds the
+memory of a Python worker by the longest text; ``tidy`` gives memory back at the end of a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
-_MASK64 = (1 << 64) - 1
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_PRIME_INT, _ROOT_INT = (1 << 61) - 1, 0x1D2B_6E5F_93A4_C817 % ((1 << 61) - 1)
+_PRIME, _ROOT, _ROOT_INV = np.uint64(_PRIME_INT), np.uint64(_ROOT_INT), np.uint64(pow(_ROOT_INT, -1, _PRIME_INT))
+_S1, _LOW30, _LOW31, _S61 = np.uint64(1), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1), np.uint64(61)
+#: Longer ranges are digested whole, as their sums could overflow.
+_LONG_RANGE = 1 << 24
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 _tables: dict[str, np.ndarray] = {}
@@ -32,17 +39,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> _S61)
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> _S31, a & _LOW31, b >> _S31, b & _LOW31
+    mid = a0 * b1 + a1 * b0
+    return _fold(((a1 * b1) << _S1) + (mid >> _S30) + ((mid & _LOW30) << _S31) + a0 * b0)
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     key = str(base)
-    if key not in _tables or len(_tables[key]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        out = np.full(size, base, np.uint64)
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
+    if key in _tables and len(_tables[key]) >= n:
+        return _tables[key][:n]
+    size = 1 << max(16, (n - 1).bit_length())
+    out = np.ones(size, np.uint64)
+    have, step = 1, int(base)
+    while have < size:
+        out[have : 2 * have] = _times(out[:have], np.uint64(step))
+        have, step = 2 * have, step * step % _PRIME_INT
+    if size <= 2 * CHUNK_BYTES:  # that of a very long text is not kept
         _tables[key] = out
-        if size > 8 * CHUNK_BYTES:  # a very long text: not kept
-            return _tables.pop(key)[:n]
-    return _tables[key][:n]
+    return out[:n]
+
+
+@functools.cache
+def _trimmer() -> Callable | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, as workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    if (f := _trimmer()) is not None:
+        f(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """For functions of mapInArrow: memory goes back when the task ends."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        try:
+            yield from f(*args, **kwargs)
+        finally:
+            _tables.clear()
+            trim()
+
+    return run
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -80,16 +130,21 @@ class Prefix:
     """Hashes of byte ranges of a buffer in O(1) each."""
 
     def __init__(self, buf: np.ndarray):
-        self.n = len(buf)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        if self.n:
-            np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, self.n), out=self.sums[1:])
+        self.buf, self.n = buf, len(buf)
+        power = _powers(_ROOT, self.n)
+        own = buf.astype(np.uint64) + _S1
+        self.low, self.high = np.zeros(self.n + 1, np.uint64), np.zeros(self.n + 1, np.uint64)
+        np.cumsum(own * (power & _LOW31), out=self.low[1:])
+        np.cumsum(own * (power >> _S31), out=self.high[1:])
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Mixed hashes of [start, end); ranges of another length or content differ but for 64-bit chance."""
-        inverse = _powers(_BASE_INV, max(self.n, 1))
-        at = np.minimum(starts, max(self.n - 1, 0))
-        h = (self.sums[ends] - self.sums[starts]) * inverse[at]
+        """Mixed hashes of [start, end); ranges of another length or content differ but for chance."""
+        inverse = _powers(_ROOT_INV, max(self.n, 1))
+        low, high = _fold(self.low[ends] - self.low[starts]), _fold(self.high[ends] - self.high[starts])
+        sums = _fold(low + (high >> _S30) + ((high & _LOW30) << _S31))
+        h = _times(sums, inverse[np.minimum(starts, max(self.n - 1, 0))])
+        for i in np.flatnonzero(ends - starts > _LONG_RANGE).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.buf[starts[i] : ends[i]], digest_size=8).digest()) >> 3
         return mix(h ^ ((ends - starts).astype(np.uint64) * _M2))
 
 

@@ -166,21 +166,49 @@ def brute_repeats(texts, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
-def test_repeats(docs_of, odd, hot):
-    rng = random.Random(hot)
+@pytest.mark.parametrize("most", [1000, 3])
+def test_repeats(docs_of, odd, most):
+    rng = random.Random(most)
     word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     passages = [word(rng.randint(150, 500)) for _ in range(5)]
-    texts = [t for t in odd if t is None or len(t) < 20000]
+    texts = [*odd, "x" * 700 + word(300)]
     for _ in range(40):
         p = rng.choice(passages)
         texts.append(word(rng.randint(0, 200)) + p[rng.randint(0, 40) :] + word(rng.randint(0, 200)) + rng.choice(passages)[: rng.randint(100, 500)])
-    texts += [texts[-1], "y" * 200, "z" * 199, passages[0][:200] * 2]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(docs_of(texts), hot=hot).collect()}
+    texts += [texts[-1], "y" * 200, "z" * 199, passages[0][:200] * 2, thue_morse(600), thue_morse(600).translate({97: "b", 98: "a"})]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(docs_of(texts), most=most).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 200)
     assert repeats.report(docs_of([])).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("most", [1000, 2])
+def test_repeat_groups_have_all_occurrences(docs_of, most):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = word(260)
+    texts = [word(rng.randint(0, 90)) + passage + word(rng.randint(0, 90)) for _ in range(7)] + [word(400), None]
+    raws = {hashlib.sha256((t or "").encode()).hexdigest()[:32]: t for t in texts}
+    found = {}
+    for r in repeats.repeat_groups(docs_of(texts), most=most).collect():
+        text = raws["".join(f"{x & (1 << 64) - 1:016x}" for x in (r.h1, r.h2))]
+        found.setdefault((r.group, r.length), set()).add((text, r.start))
+    assert found
+    for (_, n), places in found.items():
+        words = {t[k : k + n] for t, k in places}
+        assert len(words) == 1 and n >= 200
+        w = words.pop()
+        assert places == {(t, k) for t in texts if t for k in range(len(t) - n + 1) if t[k : k + n] == w}
+    covered = {t: set() for t in texts}
+    for (_, n), places in found.items():
+        for t, k in places:
+            covered[t] |= set(range(k, k + n))
+    assert all(len(covered[t]) >= 260 for t in texts[:7]) and not covered[texts[7]]
+
+
 def test_maximal_repeats():
     import numpy as np
 
