@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 _SPACES = " \t\n\r\x0b\x0c"
 
@@ -169,7 +172,7 @@ def gpu_vendor(name: Column) -> Column:
             out = out | F.contains(n, F.lit(w))
         return out
 
-    return F.when(has(["nvidia", "geforce", "rtx", "quadro", "tesla"]), "nvidia").when(has(["amd", "radeon"]), "amd").when(has(["apple"]), "apple").when(has(["intel"]), "intel").otherwise("unknown")
+    return F.when(has(["nvidia", "geforce", "quadro", "rtx"]), "nvidia").when(has(["amd", "radeon"]), "amd").when(has(["apple", "m1", "m2", "m3", "m4"]), "apple").when(has(["intel", "iris", "uhd graphics"]), "intel").otherwise("unknown")
 
 
 def hardware_tier(healthy: Column, vram: Column, ram: Column, apple: Column) -> Column:
@@ -177,3 +180,15 @@ def hardware_tier(healthy: Column, vram: Column, ram: Column, apple: Column) ->
     gib = 1024.0**3
     best = F.coalesce(vram.cast("double"), F.when(apple, F.floor(ram * 0.70).cast("double")))
     return F.when(healthy, "remote").when(best >= 20 * gib, "local_large").when(best >= 12 * gib, "local_mid").when(best >= 6 * gib, "local_small").otherwise("cpu_only")
+
+
+@F.pandas_udf(BinaryType())
+def encode_vector(v: pd.Series) -> pd.Series:
+    """Floats as little-endian bytes."""
+    return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def decode_vector(b: pd.Series) -> pd.Series:
+    """Little-endian bytes as floats; a part of one at the end is dropped."""
+    return b.map(lambda x: None if x is None else np.frombuffer(x, "<f4", len(x) // 4))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotolith.functions import paths as P
 from fotolith.functions.media import band
+from fotolith.operators.numbering import numbered
 
 
 def photo_view(photos: DataFrame, scores: DataFrame, decisions: DataFrame, metadata: DataFrame, quality: DataFrame) -> DataFrame:
@@ -83,17 +84,29 @@ QUALITIES = {
 }
 
 
+#: Sort orders: column, descending, and whether ties by id are descending. Nulls are last in every order.
+ORDERS = {
+    "ranked": (("dir", False), ("stem", False)),
+    "name": (("stem", False), ("id", False)),
+    "name_desc": (("stem", True), ("id", True)),
+    "newest": (("captured_at", True), ("id", False)),
+    "oldest": (("captured_at", False), ("id", False)),
+    "sharpest": (("focus", True), ("id", False)),
+    "score": (("composite", True), ("id", False)),
+}
+
+
+def order_of(by: str) -> list[Column]:
+    return [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in ORDERS[by]]
+
+
 def sort(view: DataFrame, by: str = "ranked") -> DataFrame:
-    orders = {
-        "ranked": (F.asc("dir"), F.asc("stem")),
-        "name": (F.asc("stem"), F.asc("id")),
-        "name_desc": (F.desc("stem"), F.desc("id")),
-        "newest": (F.desc_nulls_last("captured_at"), F.asc("id")),
-        "oldest": (F.asc_nulls_last("captured_at"), F.asc("id")),
-        "sharpest": (F.desc_nulls_last("focus"), F.asc("id")),
-        "score": (F.desc_nulls_last("composite"), F.asc("id")),
-    }
-    return view.orderBy(*orders[by])
+    return view.orderBy(*order_of(by))
+
+
+def positions(view: DataFrame, by: str, checkpoint, name: str = "position") -> DataFrame:
+    """The view with each row's place in a sort order, from 1."""
+    return numbered(view, order_of(by), checkpoint, name)
 
 
 def narrow(view: DataFrame, *ids: DataFrame) -> DataFrame:
@@ -103,12 +116,40 @@ def narrow(view: DataFrame, *ids: DataFrame) -> DataFrame:
     return view
 
 
-def select_range(view: DataFrame, order: list[Column], first: int, last: int) -> DataFrame:
-    """Rows between two ids in the visible order, both included, whichever comes first."""
-    w = Window.orderBy(*order)
-    rows = view.withColumn("__k", F.row_number().over(w))
-    ends = rows.where(F.col("id").isin(first, last)).agg(F.min("__k").alias("__a"), F.max("__k").alias("__b"))
-    return rows.join(F.broadcast(ends), F.col("__k").between(F.col("__a"), F.col("__b"))).drop("__k", "__a", "__b")
+def narrow_native(view: DataFrame, filters: Filters, *, tag: DataFrame | None = None, person: DataFrame | None = None) -> DataFrame:
+    """What is shown in the native dialect: a tag or a person (photo ids), not both, narrows and wins over the folder."""
+    if tag is not None and person is not None:
+        raise ValueError("a tag or a person")
+    chosen = tag if tag is not None else person
+    if chosen is None:
+        return view.where(filters.predicate())
+    return narrow(view, chosen).where(replace(filters, folder=None).predicate())
+
+
+def selected(view: DataFrame, ids: DataFrame, by: str = "ranked") -> DataFrame:
+    """The chosen ids (id) that are visible, in the visible order."""
+    return sort(view.join(ids.select("id").distinct(), "id", "left_semi"), by).select("id")
+
+
+def select_range(view: DataFrame, by: str, first: int, last: int) -> DataFrame:
+    """Rows between two ids in a sort order, both included, whichever comes first; nothing if either isn't there. The rows
+    are compared with the sort keys of the two, so nothing is numbered."""
+
+    def before(a: dict[str, Column], b: dict[str, Column]) -> Column:
+        """Whether a isn't behind b."""
+        out = F.lit(True)
+        for c, down in reversed(ORDERS[by]):
+            x, y = a[c], b[c]
+            less = F.coalesce((x > y) if down else (x < y), x.isNotNull() & y.isNull())
+            out = F.when(less, True).when(x.eqNullSafe(y), out).otherwise(False)
+        return out
+
+    names = [c for c, _ in ORDERS[by]]
+    keys = F.struct(*names)
+    ends = view.where(F.col("id").isin(first, last)).agg(F.max(F.when(F.col("id") == first, keys)).alias("__a"), F.max(F.when(F.col("id") == last, keys)).alias("__b"))
+    rows = view.crossJoin(F.broadcast(ends.where("__a is not null and __b is not null")))  # one row
+    own, a, b = {c: F.col(c) for c in names}, *({c: F.col(f"__{e}.{c}") for c in names} for e in "ab")
+    return rows.where((before(a, own) & before(own, b)) | (before(b, own) & before(own, a))).drop("__a", "__b")
 
 
 def filter_counts(view: DataFrame, dialect: str = "web") -> DataFrame:
@@ -126,10 +167,26 @@ def facets(view: DataFrame, names: tuple[str, ...] = ("camera", "lens", "year"))
 
 
 def directories(photos: DataFrame) -> DataFrame:
-    """(path, direct, recursive) of every folder with visible photographs in or below it."""
+    """(path, direct, recursive) of every folder with visible photographs in or below it. The root "/" of absolute paths is
+    listed too, but counts only what lies directly in it."""
     counts = photos.where("trashed_at is null").groupBy("dir").agg(F.count("*").alias("k"))
-    up = counts.select("dir", "k", F.explode(P.ancestors(F.col("dir"))).alias("path"))
-    return up.groupBy("path").agg(F.sum(F.when(F.col("path") == F.col("dir"), F.col("k")).otherwise(0)).alias("direct"), F.sum("k").alias("recursive"))
+    inner = F.startswith("dir", F.lit("/")) & (F.col("dir") != "/")
+    every = F.concat(P.ancestors(F.col("dir")), F.when(inner, F.array(F.lit("/"))).otherwise(F.array().cast("array<string>")))
+    up = counts.select("dir", "k", F.explode(every).alias("path"))
+    direct = F.sum(F.when(F.col("path") == F.col("dir"), F.col("k")).otherwise(0))
+    return up.groupBy("path").agg(direct.alias("direct"), F.sum(F.when((F.col("path") == "/") & (F.col("dir") != "/"), 0).otherwise(F.col("k"))).alias("recursive"))
+
+
+def folder_tree(dirs: DataFrame) -> DataFrame:
+    """(path, name, depth, parent, direct, recursive) with a row for every folder on the way, counted 0, in the order of a
+    tree whose siblings are sorted by name with numbers by value."""
+    rows = dirs.select("path", "direct", "recursive")
+    chain = rows.select(F.explode(P.ancestors(F.col("path"))).alias("path")).distinct().where("path != ''").join(rows, "path", "left")
+    parts = F.filter(F.split("path", "/"), lambda x: x != "")
+    padded = F.transform(parts, lambda x: F.array_join(F.transform(F.regexp_extract_all(F.lower(x), F.lit("[0-9]+|[^0-9]+"), F.lit(0)), lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 24, "0")).otherwise(p)), ""))
+    up = F.regexp_replace("path", "/[^/]+$", "")
+    out = chain.select("path", F.coalesce(F.try_element_at(parts, F.lit(-1)), F.col("path")).alias("name"), F.size(parts).alias("depth"), F.nullif(F.when(up != F.col("path"), up), F.lit("")).alias("parent"), F.coalesce("direct", F.lit(0)).alias("direct"), F.coalesce("recursive", F.lit(0)).alias("recursive"), padded.alias("__order"))
+    return out.orderBy("__order", "path").drop("__order")
 
 
 def folders_below(dirs: DataFrame, root: str) -> DataFrame:

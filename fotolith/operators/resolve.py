@@ -55,7 +55,11 @@ def merge_halves(groups: DataFrame, scope: str) -> DataFrame:
 
 def files_of(groups: DataFrame) -> DataFrame:
     """(dir, stem, role, path), raws first, then renderings, sidecars and videos."""
-    every = F.concat(*(F.transform(f"{r}s", lambda p, r=r: F.struct(F.lit(r).alias("role"), p.alias("path"))) for r in ROLES))
+
+    def named(role: str) -> Column:
+        return F.transform(f"{role}s", lambda p: F.struct(F.lit(role).alias("role"), p.alias("path")))
+
+    every = F.concat(*map(named, ROLES))
     return groups.select("dir", "stem", F.posexplode(every).alias("place", "x")).select("dir", "stem", "place", "x.role", "x.path")
 
 

@@ -31,19 +31,29 @@ def preset(name: str) -> tuple[int, ...]:
     return found[name.lower()]
 
 
-def normalise(frames: DataFrame, gap: int = SHOOT_GAP) -> DataFrame:
+#: The metrics that a score reads.
+SCORED = tuple(i for i, better in enumerate(HIGHER_BETTER) if better is not None)
+
+
+def normalise(frames: DataFrame, gap: int = SHOOT_GAP, metrics: tuple[int, ...] = tuple(range(8)), library_for_all: bool = True) -> DataFrame:
     """frames (photo_id, dir, camera, captured_at, m0..m7) with shoot columns, shoot_relative, s0..s7 (rank in the
-    shoot) and l0..l7 (rank in the library).
+    shoot) and l0..l7 (rank in the library), null for metrics that aren't asked for.
 
-    The metrics are unpivoted first: all eight share one sort by shoot, and the library's ranks come from counts of
-    values, not from a window over everything.
+    The metrics are unpivoted first: all share one sort by shoot, and the library's ranks come from counts of values,
+    not from a window over everything. Without ``library_for_all`` only frames of small shoots, whose score needs
+    them, get ranks in the library.
     """
-    base = shoots(frames, gap)
-    long = base.select("photo_id", "shoot_id", F.posexplode(F.array(*_M)).alias("metric", "value"))
+    base = shoots(frames, gap).withColumn("shoot_relative", F.col("shoot_size") >= MIN_SHOOT)
+    cells = F.array(*(F.struct(F.lit(i).alias("metric"), F.col(f"m{i}").alias("value")) for i in metrics))
+    long = base.select("photo_id", "shoot_id", "shoot_relative", F.explode(cells).alias("x")).select("photo_id", "shoot_id", "shoot_relative", "x.metric", "x.value")
     ranked = long.withColumn("in_shoot", mid_rank(["shoot_id", "metric"], "value"))
-    ranked = library_mid_rank(ranked, ["metric"], "value", "in_library")
-    wide = ranked.groupBy("photo_id").agg(*(F.max(F.when(F.col("metric") == i, F.col(c))).alias(f"{p}{i}") for c, p in (("in_shoot", "s"), ("in_library", "l")) for i in range(8)))
-    return base.withColumn("shoot_relative", F.col("shoot_size") >= MIN_SHOOT).join(wide, "photo_id")
+    if library_for_all:
+        ranked = library_mid_rank(ranked, ["metric"], "value", "in_library")
+    else:
+        small = ranked.where(~F.col("shoot_relative"))
+        ranked = ranked.where("shoot_relative").withColumn("in_library", F.lit(None).cast("double")).unionByName(library_mid_rank(small, ["metric"], "value", "in_library", of=long))
+    wide = ranked.groupBy("photo_id").agg(*((F.max(F.when(F.col("metric") == i, F.col(c))) if i in metrics else F.lit(None).cast("double")).alias(f"{p}{i}") for c, p in (("in_shoot", "s"), ("in_library", "l")) for i in range(8)))
+    return base.join(wide, "photo_id")
 
 
 def oriented(i: int) -> Column:
@@ -55,27 +65,32 @@ def oriented(i: int) -> Column:
 
 
 def terms(weights: tuple[float, ...]) -> Column:
-    """array<struct<label, weight, percentile, raw, contribution, loss>> of the five terms."""
+    """array<struct<label, weight, percentile, raw, contribution, loss>> of the five terms; one without a percentile is
+    left out, clipping if either side has none."""
     total = float(sum(weights))
     values = (
         (oriented(0), F.col("m0")),
         (oriented(1), F.col("m1")),
         (oriented(4), F.col("m4")),
-        (F.least(oriented(5), oriented(6)), F.greatest("m5", "m6")),
+        (F.when(oriented(5).isNotNull() & oriented(6).isNotNull(), F.least(oriented(5), oriented(6))), F.greatest("m5", "m6")),
         (oriented(7), F.col("m7")),
     )
     out = []
     for label, weight, (p, raw) in zip(TERMS, weights, values, strict=True):
         w = weight / total
-        p = F.least(F.lit(100.0), F.greatest(F.lit(0.0), p))
+        p = F.when(p.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), p)))
         out.append(F.struct(F.lit(label).alias("label"), F.lit(w).alias("weight"), p.alias("percentile"), raw.alias("raw"), (p * w).alias("contribution"), ((100 - p) * w).alias("loss")))
-    return F.array(*out)
+    return F.filter(F.array(*out), lambda t: t["percentile"].isNotNull())
 
 
 def valid_weights(weights: tuple[float, ...]) -> bool:
     return len(weights) == 5 and all(w >= 0 for w in weights) and sum(weights) > 0
 
 
+def valid_thresholds(keep: float, reject: float) -> bool:
+    return 0 <= reject < keep <= 100  # NaN fails too
+
+
 def score(normalised: DataFrame, weights: tuple[float, ...] = PRESETS["Balanced"], keep: float = 70.0, reject: float = 35.0) -> DataFrame:
     """With terms, composite and band. Weights that can't be used give composite 0, band review and no terms."""
     if not valid_weights(weights):

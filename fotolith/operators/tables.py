@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotolith.functions.media import tag_name
+from fotolith.operators.numbering import numbered
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,43 +31,19 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys, "full").select(*keys, F.when(F.col("__a").isNull(), "appeared").when(F.col("__b").isNull(), "vanished").otherwise("kept").alias("change"))
 
 
-def reconcile_files(old: DataFrame, scanned: DataFrame, now: int) -> DataFrame:
+def reconcile_files(old: DataFrame, scanned: DataFrame, now: int, checkpoint: Callable[[DataFrame], DataFrame], after: int | None = None) -> DataFrame:
     """The file table after a scan (path, photo_id, role, size_bytes, mtime_ns): ids stay by path, new files get ids
-    after the last; the hash is kept only while size and time are the same; unseen files go."""
+    after the last (or after ``after``) in the order of paths; the hash is kept only while size and time are the same;
+    unseen files go."""
     o = old.select("path", F.col("id").alias("__id"), F.col("size_bytes").alias("__s"), F.col("mtime_ns").alias("__m"), F.col("content_hash").alias("__h"))
-    last = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
+    last = old.agg((F.coalesce(F.max("id"), F.lit(0)) if after is None else F.lit(after)).alias("__last"))
     rows = scanned.join(o, "path", "left")
-    fresh = rows.where("__id is null").select("path")
-    # numbered by path: counts by the first bytes of a path place whole ranges, a window places within one
-    part = F.substring("path", 1, 48)
-    offsets = fresh.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = fresh.withColumn("__p", part).join(offsets.withColumn("__before", before), "__p")
-    numbered = numbered.withColumn("__new", F.col("__before") + F.row_number().over(Window.partitionBy("__p").orderBy("path"))).select("path", "__new")
+    new = numbered(rows.where("__id is null").select("path"), ["path"], checkpoint, "__new")
     same = (F.col("__s") == F.col("size_bytes")) & (F.col("__m") == F.col("mtime_ns"))
-    rows = rows.join(numbered, "path", "left").crossJoin(F.broadcast(last))  # one row
+    rows = rows.join(new, "path", "left").crossJoin(F.broadcast(last))  # one row
     return rows.select(F.coalesce("__id", F.col("__last") + F.col("__new")).alias("id"), "photo_id", "path", "role", "size_bytes", "mtime_ns", F.when(same, F.col("__h")).alias("content_hash"), F.lit(now).cast("long").alias("indexed_at"))
 
 
-def adopt_decisions(doomed: DataFrame, heirs: DataFrame) -> DataFrame:
-    """(photo_id, heir_id): decisions whose photograph is going move to a photograph without one whose file has the
-    same size and time. doomed: photo_id, source_size, source_mtime; heirs: photo_id, file_id, role, size_bytes,
-    mtime_ns. Raws first, then lowest ids; each heir once."""
-    key = ["s", "m"]
-    d = doomed.select("photo_id", F.col("source_size").alias("s"), F.col("source_mtime").alias("m")).where("s is not null and m is not null")
-    d = d.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("photo_id")))
-    order = F.struct(F.when(F.col("role") == "raw", 0).otherwise(1).alias("r"), F.col("file_id").alias("f"))
-    h = heirs.where("role in ('raw', 'raster')").groupBy("photo_id", F.col("size_bytes").alias("s"), F.col("mtime_ns").alias("m")).agg(F.min(order).alias("o"))
-    h = h.select(F.col("photo_id").alias("heir_id"), *key, F.row_number().over(Window.partitionBy(*key).orderBy("o")).alias("k"))
-    return d.join(h, [*key, "k"]).select("photo_id", "heir_id")
-
-
-def orphaned_decisions(decisions: DataFrame, files: DataFrame) -> DataFrame:
-    """Decisions of which no file of the photograph has the size and time they were made for."""
-    f = files.select("photo_id", F.col("size_bytes").alias("source_size"), F.col("mtime_ns").alias("source_mtime")).distinct()
-    return decisions.where("source_size is not null and (rating > 0 or rejected)").join(f, ["photo_id", "source_size", "source_mtime"], "left_anti")
-
-
 def stale_exif(files: DataFrame, exif: DataFrame, reader: int) -> DataFrame:
     """Visible raws and renderings without metadata, or with metadata of another file version or an older reader."""
     e = exif.select(F.col("file_id").alias("id"), "source_mtime_ns", "reader_version")
@@ -93,6 +72,11 @@ def set_trashed(photos: DataFrame, ids: DataFrame, at: int | None) -> DataFrame:
     return photos.join(hit, "id", "left").withColumn("trashed_at", F.when(F.col("__hit"), F.lit(at).cast("long")).otherwise(F.col("trashed_at"))).select(photos.columns)
 
 
+def clear_trashed_for_paths(photos: DataFrame, files: DataFrame, paths: DataFrame) -> DataFrame:
+    """Photographs with a file among the paths (path) leave the trash."""
+    return set_trashed(photos, files.join(paths.select("path"), "path", "left_semi").where("photo_id is not null"), None)
+
+
 # people -----------------------------------------------------------------------------------------------------------
 
 
@@ -112,28 +96,36 @@ def merge_people(memberships: DataFrame, source: int, into: int) -> tuple[DataFr
     return memberships.where(F.col("person_id") != source).unionByName(moved.select(F.lit(into).cast("long").alias("person_id"), "face_id")), moved
 
 
-def split_person(memberships: DataFrame, person: int, chosen: DataFrame, new_id: int) -> DataFrame | None:
-    """Chosen faces become a new person; None if none or all are chosen."""
-    own = memberships.where(F.col("person_id") == person)
-    going = own.join(chosen.select("face_id").distinct(), "face_id", "left_semi")
-    if going.isEmpty() or own.join(going.select("face_id"), "face_id", "left_anti").isEmpty():
-        return None
-    going = going.select(F.lit(new_id).cast("long").alias("person_id"), "face_id")
-    rest = memberships.join(chosen.select(F.lit(person).cast("long").alias("person_id"), "face_id").distinct(), ["person_id", "face_id"], "left_anti")
-    return rest.unionByName(going)
-
-
-def replace_people(people: DataFrame, memberships: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_person(people: DataFrame, memberships: DataFrame, person: int, chosen: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """(people, memberships): chosen faces become a new person, and both are confirmed. Nothing changes if none or all of
+    the person's faces are chosen."""
+    mine = F.col("person_id") == person
+    picked = chosen.select(F.col("face_id").alias("face_id")).distinct().withColumn("__hit", F.lit(True))
+    rows = memberships.join(picked, "face_id", "left").withColumn("__goes", mine & F.coalesce("__hit", F.lit(False)))
+    ids = people.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("__new"))
+    # one row: whether the split is allowed, and the new id
+    allowed = rows.agg(((F.count_if("__goes") > 0) & (F.count_if("__goes") < F.count_if(mine))).alias("__ok")).crossJoin(ids)
+    rows = rows.crossJoin(F.broadcast(allowed))
+    moved = rows.select(F.when(F.col("__ok") & F.col("__goes"), F.col("__new")).otherwise(F.col("person_id")).alias("person_id"), "face_id")
+    both = people.crossJoin(F.broadcast(allowed))
+    hit = F.col("__ok") & (F.col("id") == person)
+    columns = people.columns
+    kept = both.withColumns({"confirmed": F.col("confirmed") | hit, "updated_at": F.when(hit, F.lit(now).cast("long")).otherwise(F.col("updated_at"))}).select(columns)
+    new = both.where(hit).select(F.col("__new").alias("id"), *(F.lit(None).cast("string").alias(c) if c == "name" else F.lit(True).alias(c) if c == "confirmed" else F.lit(now).cast("long").alias(c) if c in ("created_at", "updated_at") else F.col(c) for c in columns if c != "id"))
+    return kept.unionByName(new.select(columns)), moved
+
+
+def replace_people(people: DataFrame, memberships: DataFrame, clusters: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(people, memberships) after clustering (id, cluster, size): unconfirmed groups go; each cluster is a new person,
     largest first, without faces that confirmed people have."""
     keep = people.where("confirmed")
     kept = memberships.join(keep.select(F.col("id").alias("person_id")), "person_id", "left_semi")
     names = clusters.select("cluster", "size").distinct()
     last = people.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
-    numbered = names.withColumn("__k", F.row_number().over(Window.orderBy(F.desc("size"), "cluster"))).crossJoin(F.broadcast(last))  # one row a cluster
-    numbered = numbered.select("cluster", (F.col("__last") + F.col("__k")).alias("person_id"))
-    faces = clusters.join(numbered, "cluster").select("person_id", F.col("id").alias("face_id")).join(kept.select("face_id"), "face_id", "left_anti")
-    new = numbered.select(F.col("person_id").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("confirmed"))
+    numbers = numbered(names, [F.desc("size"), F.asc("cluster")], checkpoint, "__k").crossJoin(F.broadcast(last))  # one row
+    numbers = numbers.select("cluster", (F.col("__last") + F.col("__k")).alias("person_id"))
+    faces = clusters.join(numbers, "cluster").select("person_id", F.col("id").alias("face_id")).join(kept.select("face_id"), "face_id", "left_anti")
+    new = numbers.select(F.col("person_id").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("confirmed"))
     return keep.select("id", "name", "confirmed").unionByName(new), kept.select("person_id", "face_id").unionByName(faces.select("person_id", "face_id"))
 
 
@@ -171,11 +163,11 @@ def operations(manifest: DataFrame) -> DataFrame:
 
 
 def destinations(moves: DataFrame) -> DataFrame:
-    """Moves (source, destination) with a free name each: the second of a name is ``stem~1.ext``, and so on."""
-    k = F.row_number().over(Window.partitionBy("destination").orderBy("source")) - 1
+    """Moves (source, destination) with a free name each: the second of a name is ``stem~2.ext``, and so on."""
+    k = F.row_number().over(Window.partitionBy("destination").orderBy("source"))
     name = F.regexp_replace("destination", r"(\.[^./]*)?$", "")
     ext = F.regexp_extract("destination", r"[^/.](\.[^./]*)$", 1)
-    return moves.withColumn("__k", k).withColumn("destination", F.when(F.col("__k") == 0, F.col("destination")).otherwise(F.concat(F.regexp_replace("destination", r"\.[^./]*$", ""), F.lit("~"), F.col("__k").cast("string"), ext))).drop("__k")
+    return moves.withColumn("__k", k).withColumn("destination", F.when(F.col("__k") == 1, F.col("destination")).otherwise(F.concat(F.regexp_replace("destination", r"\.[^./]*$", ""), F.lit("~"), F.col("__k").cast("string"), ext))).drop("__k")
 
 
 def delete_selection(ids: DataFrame, photos: DataFrame, files: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,8 @@ class TooNew(RuntimeError):
 
 
 class Catalog:
-    """Tables are snapshots: a change is written beside the current one, then the pointer file moves, so readers see the
-    old table or the new one. Row counts don't matter to the driver; it handles names only."""
+    """Tables are snapshots: a change is written beside the current one, then a new state file names it, so readers see the
+    old tables or the new ones. Row counts don't matter to the driver; it handles names only."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -32,20 +34,40 @@ class Catalog:
                 self._write(state, f".v{state['version']}.bak")
             self._write(state | {"version": schemas.VERSION})
 
+    def _versions(self) -> list[str]:
+        """Names of the state files, the newest first."""
+        top = self._path(self.root)
+        if not self._fs.exists(top):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(top)]
+        return sorted((n for n in names if re.fullmatch(r"catalog-[0-9]{12}\.json", n)), reverse=True)
+
     def _read(self) -> dict:
-        at = self._path(f"{self.root}/catalog.json")
-        if not self._fs.exists(at):
+        names = self._versions()
+        if not names:
             return {"version": 0, "tables": {}}
-        return json.loads("".join(r[0] for r in self.spark.read.text(str(at)).collect()))
+        stream = self._fs.open(self._path(f"{self.root}/{names[0]}"))
+        try:
+            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        finally:
+            stream.close()
 
     def _write(self, state: dict, suffix: str = "") -> None:
-        new = self._path(f"{self.root}/catalog.json.new")
+        """A new state file under the next number: written whole under another name, then renamed, so a writer that dies
+        leaves the state before it. The last few are kept."""
+        names = self._versions()
+        after = int(names[0][8:20]) + 1 if names else 1
+        new = self._path(f"{self.root}/.state-{uuid.uuid4().hex}")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        to = self._path(f"{self.root}/catalog.json{suffix}")
-        self._fs.delete(to, False)
-        self._fs.rename(new, to)
+        to = self._path(f"{self.root}/catalog.json{suffix}" if suffix else f"{self.root}/catalog-{after:012d}.json")
+        if not self._fs.rename(new, to):
+            self._fs.delete(new, False)
+            if not suffix:
+                raise RuntimeError("another writer has changed the catalog")
+        for old in names[8:]:
+            self._fs.delete(self._path(f"{self.root}/{old}"), False)
 
     def table(self, name: str) -> DataFrame:
         at = self._read()["tables"].get(name)
@@ -73,7 +95,7 @@ class Catalog:
 
 def score_library(frames: DataFrame, preset: str = "Balanced", gap: int = 1800, keep: float = 70.0, reject: float = 35.0) -> DataFrame:
     """Measured frames to composites and bands."""
-    return scoring.score(scoring.normalise(frames, gap), scoring.preset(preset), keep, reject)
+    return scoring.score(scoring.normalise(frames, gap, scoring.SCORED, library_for_all=False), scoring.preset(preset), keep, reject)
 
 
 def rescore(catalog: Catalog, version: str, now: int, preset: str = "Balanced") -> None:

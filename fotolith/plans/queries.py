@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fotolith.functions import media, paths
-from fotolith.operators import grid, ranks, resolve, scoring, sessions, tables, vectors
+from fotolith.operators import grid, indexing, ranks, resolve, scoring, sessions, tables, vectors
 from fotolith.plans.catalog import score_library
 from fotolith.plans.checkpoint import cutter
 from fotolith.plans.datasets import ctes, frame
@@ -25,7 +25,10 @@ def query(sql: str | None = None, uses: tuple[str, ...] = ()) -> Callable[[Query
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = f"with {ctes(*uses)}{', ' if uses and sql.lstrip().startswith('+') else ' '}{sql.lstrip().lstrip('+')}" if uses else sql
+            body = sql.lstrip()
+            more, body = body.startswith("+"), body.lstrip("+").lstrip()
+            recursive, body = body.startswith("recursive "), body.removeprefix("recursive ")
+            ORACLES[f.__name__] = f"with {'recursive ' if recursive else ''}{ctes(*uses)}{', ' if more else ' '}{body}" if uses else sql
         return f
 
     return add
@@ -94,10 +97,10 @@ _PRESETS = ", ".join(f"('{n}', {', '.join(map(str, w))})" for n, w in scoring.PR
 
 
 @query(_SCORED + f""", p(preset, a, b, c, d, e) as (values {_PRESETS}),
-k as (select preset, (a * p_focus + b * p_detail + c * p_range + d * p_clip + e * p_noise) / 100.0 as composite from w, p)
+k as (select preset, a::double / 100 * p_focus + b::double / 100 * p_detail + c::double / 100 * p_range + d::double / 100 * p_clip + e::double / 100 * p_noise as composite from w, p)
 select preset, count(*) as n, round(avg(composite), 6) as mean, count(*) filter (composite >= 70) as keep, count(*) filter (composite < 35) as reject from k group by preset""", ("frames",))
 def preset_compare(spark, d):
-    base = scoring.normalise(frame(spark, d, "frames"), GAP)
+    base = scoring.normalise(frame(spark, d, "frames"), GAP, scoring.SCORED, library_for_all=False)
     rows = base.select(F.explode(F.array(*(F.struct(F.lit(n).alias("preset"), F.aggregate(scoring.terms(w), F.lit(0.0), lambda s, t: s + t["contribution"]).alias("composite")) for n, w in scoring.PRESETS.items()))).alias("x")).select("x.*")
     return rows.groupBy("preset").agg(F.count("*").alias("n"), F.round(F.avg("composite"), 6).alias("mean"), F.count_if(F.col("composite") >= 70).alias("keep"), F.count_if(F.col("composite") < 35).alias("reject"))
 
@@ -292,16 +295,23 @@ def facets(spark, d):
     return grid.facets(_view(spark, d))
 
 
-@query(_VIEW + " select * from (select id, captured_at, 'newest' as by from v order by captured_at desc nulls last, id limit 200) union all select * from (select id, captured_at, 'oldest' from v order by captured_at asc nulls last, id limit 200)", _IN_VIEW)
+@query(_VIEW + " select id, 'newest' as by, row_number() over (order by captured_at desc nulls last, id) as position from v union all select id, 'oldest', row_number() over (order by captured_at asc nulls last, id) from v", _IN_VIEW)
 def sorts_by_time(spark, d):
-    v = _view(spark, d)
-    top = [grid.sort(v, by).limit(200).select("id", "captured_at", F.lit(by).alias("by")) for by in ("newest", "oldest")]
-    return top[0].union(top[1])
+    v = _view(spark, d).select("id", "captured_at")
+    every = [grid.positions(v, by, cutter(spark)).select("id", F.lit(by).alias("by"), "position") for by in ("newest", "oldest")]
+    return every[0].union(every[1])
 
 
-@query(_VIEW + " select id, focus from v order by focus desc nulls last, id limit 300", _IN_VIEW)
+@query(_VIEW + " select id, focus, row_number() over (order by focus desc nulls last, id) as position from v", _IN_VIEW)
 def sorts_by_focus(spark, d):
-    return grid.sort(_view(spark, d), "sharpest").limit(300).select("id", "focus")
+    return grid.positions(_view(spark, d).select("id", "focus"), "sharpest", cutter(spark))
+
+
+@query(_VIEW + " select id, 'name' as by, row_number() over (order by stem, id) as position from v union all select id, 'name_desc', row_number() over (order by stem desc, id desc) from v", _IN_VIEW)
+def sorts_by_name(spark, d):
+    v = _view(spark, d).select("id", "stem")
+    every = [grid.positions(v, by, cutter(spark)).select("id", F.lit(by).alias("by"), "position") for by in ("name", "name_desc")]
+    return every[0].union(every[1])
 
 
 @query(_VIEW + ", t as (select distinct photo_id from t_decision where rating = 3), u as (select photo_id from t_quality where noise < 50) select id from v where id in (select photo_id from t) and id in (select photo_id from u)", _IN_VIEW)
@@ -311,7 +321,7 @@ def narrowing(spark, d):
 
 @query(_VIEW + ", k as (select id, row_number() over (order by dir, stem) as r from v), e as (select min(r) as a, max(r) as b from k where id in (7, 33)) select id from k, e where r between a and b", _IN_VIEW)
 def row_range(spark, d):
-    return grid.select_range(_view(spark, d), [F.asc("dir"), F.asc("stem")], 7, 33).select("id")
+    return grid.select_range(_view(spark, d), "ranked", 7, 33).select("id")
 
 
 @query("""+ c as (select dir, count(*) as k from t_photo where trashed_at is null group by dir), a as (select dir, k, unnest(range(1, len(string_split(dir, '/')) + 1)) as i from c),
@@ -381,22 +391,6 @@ def mark_sweep_diff(spark, d):
     return tables.diff(o.where("k % 3 != 0"), o.where("k % 4 != 0"), ["k"])
 
 
-@query("""+ d as (select photo_id, s, m, row_number() over (partition by s, m order by photo_id) as k from (select photo_id, min(size_bytes) as s, 7 as m from t_file where photo_id % 2 = 0 group by photo_id)),
-h as (select photo_id as heir_id, s, m, row_number() over (partition by s, m order by r, f) as k from (select photo_id, size_bytes as s, 7 as m, min(struct_pack(r := (role != 'raw')::int, f := id)).r as r, min(struct_pack(r := (role != 'raw')::int, f := id)).f as f from t_file where photo_id % 2 = 1 and role in ('raw', 'raster') group by photo_id, size_bytes))
-select photo_id, heir_id from d join h using (s, m, k)""", ("file",))
-def orphan_adoption(spark, d):
-    f = frame(spark, d, "file")
-    doomed = f.where("photo_id % 2 = 0").groupBy("photo_id").agg(F.min("size_bytes").alias("source_size")).withColumn("source_mtime", F.lit(7))
-    heirs = f.where("photo_id % 2 = 1").select("photo_id", F.col("id").alias("file_id"), "role", "size_bytes", F.lit(7).alias("mtime_ns"))
-    return tables.adopt_decisions(doomed, heirs)
-
-
-@query("+ x as (select photo_id, rating, rejected, photo_id * 1000 as s from t_decision) select photo_id from x where (rating > 0 or rejected) and not exists (select 1 from t_file f where f.photo_id = x.photo_id and f.size_bytes = x.s % 50000)", ("decision", "file"))
-def orphaned_decisions(spark, d):
-    x = frame(spark, d, "decision").withColumns({"source_size": F.col("photo_id") * 1000 % 50000, "source_mtime": F.lit(1)})
-    return tables.orphaned_decisions(x, frame(spark, d, "file").withColumn("mtime_ns", F.lit(1))).select("photo_id")
-
-
 @query("""+ o as (select id, path, size_bytes, mtime_ns, concat('h', id) as content_hash from t_file where id % 3 != 0), n as (select path, photo_id, case when id % 5 = 0 then size_bytes + 1 else size_bytes end as size_bytes, mtime_ns from (select *, row_number() over (partition by path order by id) as k from t_file where id % 4 != 1) where k = 1),
 o1 as (select *, row_number() over (partition by path order by id) as k from o), l as (select max(id) as last from o1 where k = 1),
 j as (select n.*, o1.id as oid, o1.size_bytes as os, o1.mtime_ns as om, content_hash from n left join (select * from o1 where k = 1) o1 using (path)),
@@ -407,7 +401,7 @@ def reconcile_files(spark, d):
     first = F.row_number().over(Window.partitionBy("path").orderBy("id"))
     old = f.where("id % 3 != 0").withColumn("k", first).where("k = 1").selectExpr("id", "path", "size_bytes", "mtime_ns", "concat('h', cast(id as string)) as content_hash")
     new = f.where("id % 4 != 1").withColumn("k", first).where("k = 1").selectExpr("path", "photo_id", "role", "case when id % 5 = 0 then size_bytes + 1 else size_bytes end as size_bytes", "mtime_ns")
-    return tables.reconcile_files(old, new, 0).select("path", "id", "content_hash")
+    return tables.reconcile_files(old, new, 0, cutter(spark)).select("path", "id", "content_hash")
 
 
 # people and tags --------------------------------------------------------------------------------------------------
@@ -427,10 +421,11 @@ def merge_people(spark, d):
     return tables.merge_people(f, 1, 2)[0]
 
 
-@query("select case when person_id = 3 and id % 2 = 0 then 77 else person_id end::bigint as person_id, id as face_id from t_face", ("face",))
+@query("select case when person_id = 3 and id % 2 = 0 then (select max(person_id) + 1 from t_face) else person_id end::bigint as person_id, id as face_id from t_face", ("face",))
 def split_person(spark, d):
     f = frame(spark, d, "face").selectExpr("cast(person_id as long) as person_id", "id as face_id")
-    return tables.split_person(f, 3, f.where("face_id % 2 = 0").select("face_id"), 77)
+    people = f.select(F.col("person_id").alias("id")).distinct().selectExpr("id", "cast(null as string) as name", "false as confirmed", "0L as created_at", "0L as updated_at")
+    return tables.split_person(people, f, 3, f.where("face_id % 2 = 0").select("face_id"), 9)[1]
 
 
 @query("+ v as (select id from t_photo where trashed_at is null) select lower(trim(name)) as name, count(distinct photo_id) as n from t_tag where model = 'm0' and photo_id in (select id from v) group by 1", ("tag", "photo"))
@@ -458,12 +453,12 @@ def replace_tags(spark, d):
 @query("""+ p as (select a.id as src, b.id as dst, list_cosine_similarity(a.vector::double[], b.vector::double[]) as s from t_face a join t_face b on a.id < b.id),
 k as (select *, row_number() over (partition by src order by s desc, dst) as r from p where s >= 0.3) select src, dst, round(s, 6) as weight from k where r <= 8""", ("face",))
 def knn_graph(spark, d):
-    return vectors.knn_graph(frame(spark, d, "face").select("id", "vector"), block=256).withColumn("weight", F.round("weight", 6))
+    return vectors.knn_graph(frame(spark, d, "face").select("id", "vector"), cutter(spark), block=256).withColumn("weight", F.round("weight", 6))
 
 
 @query()
 def whispers_clusters(spark, d):
-    return vectors.clusters(vectors.knn_graph(frame(spark, d, "face").select("id", "vector"), block=256), cutter(spark))
+    return vectors.clusters(vectors.knn_graph(frame(spark, d, "face").select("id", "vector"), cutter(spark), block=256), cutter(spark))
 
 
 @query("""+ x as (select person_id, unnest(range(64)) as i, unnest(vector::double[]) as x from t_face), m as (select person_id, i, avg(x) as x from x group by 1, 2),
@@ -483,9 +478,10 @@ def cluster_eval_pairs(spark, d):
     return r.select("tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
-@query()
+@query("""+ f as (select id, vector::double[] as v, person_id as label, id % 20 as c from t_face), p as (select a.id, (a.label = b.label)::int as same, row_number() over (partition by a.id order by list_cosine_similarity(a.v, b.v) desc, b.id) as k from f a join f b on a.c = b.c and a.id != b.id),
+m as (select id, avg(same) as share from p where k <= 3 group by id) select round(avg(share), 6) as purity from m where (select min(n) from (select count(*) as n from f group by c)) >= 4""", ("face",))
 def neighbour_purity(spark, d):
-    return vectors.neighbour_purity(frame(spark, d, "face").selectExpr("id", "vector", "person_id as label", "id % 20 as cluster"))
+    return vectors.neighbour_purity(frame(spark, d, "face").selectExpr("id", "vector", "person_id as label", "id % 20 as cluster")).select(F.round("purity", 6).alias("purity"))
 
 
 @query("""+ v as (select concat('phrase ', id) as phrase, vector as y from t_face where id < 40), s as (select f.id as photo_id, phrase, list_dot_product(vector::double[], y::double[]) as s from t_face f, v),
@@ -577,12 +573,16 @@ def settle_debounce(spark, d):
     return settle.settled_batch(e, 2_000_000_000, 3000).select("path", "change", "at")
 
 
-@query("select 'the ambiguous need review' as problem where (select count(*) from orders) > 0")
+@query("""+ p as (select * from t_photo where trashed_at is null), s as (select photo_id from t_score where photo_id in (select id from p)), f as (select * from t_file where photo_id in (select id from p)),
+r as (select count(*) as photos, (select count(*) from s) as scored, (select count(*) from f) as files, (select count(*) from s where photo_id % 4 = 0) as reused, count(*) filter (id % 50 = 0) as review, count(*) filter (state = 'ambiguous') as amb from p)
+select 'photographs have files' as problem from r where files < photos union all select 'bands make up the scored' from r where (select count(*) from s where photo_id % 7 = 0) > 0
+ union all select 'states make up the photographs' from p where state not in ('pair', 'raw_only', 'raster_only', 'ambiguous') group by 1 union all select 'the ambiguous need review' from r where review < amb
+ union all select 'only the scored are reused' from r where reused > scored""", ("photo", "score", "file"))
 def report_problems(spark, d):
-    n = _read(spark, d, "orders").agg(F.count("*").alias("photos"))
-    zero = {c: F.lit(0) for c in ("unscoreable", "review", "reject", "raw_only", "raster_only", "reused", "needs_review")}
-    r = n.withColumns(zero).withColumns({"scored": F.col("photos"), "keep": F.col("photos"), "pair": F.col("photos") - 1, "ambiguous": F.lit(1), "pairs": F.col("photos") - 1, "scanned_files": F.col("photos"), "shoots": F.lit(1)})
-    return tables.inconsistencies(r)
+    photos = frame(spark, d, "photo").withColumn("needs_review", F.col("id") % 50 == 0)
+    scored = frame(spark, d, "score").select("photo_id", F.when(F.col("photo_id") % 7 == 0, "unknown").when(F.col("composite") >= 50, "keep").otherwise("review").alias("band"))
+    shoots = photos.select((F.col("id") % 100).alias("shoot_id"))
+    return tables.inconsistencies(indexing.report(photos, frame(spark, d, "file"), scored, shoots, scored.where("photo_id % 4 = 0").select("photo_id")))
 
 
 @query("""with r as (select conv_id, count(*) as n, sum(length(text)) as c from conversations group by 1) select bool_and(n <= 6) as adheres, sum(greatest(0, c - 12 * n))::bigint as wasted, 3600.0 * count(*) / sum(n * 2.0) as per_hour from r""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from urllib.parse import unquote
@@ -26,6 +27,44 @@ def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("size_bytes > 0"), listed.join(rows.where("size_bytes > 0").select("path"), "path", "left_anti")
 
 
+def walk(spark: SparkSession, root: str, checkpoint) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, empty, unreadable) of a folder that all executors have mounted: path, size_bytes and mtime_ns of indexable
+    files, paths of those without content, and path and reason of what couldn't be listed or looked at.
+
+    The executors list folders, a level of the tree in each round, so no list passes through the driver. Links aren't
+    followed and excluded folders not entered."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["path"]:
+                out = []
+                try:
+                    entries = list(os.scandir(folder))
+                except OSError as e:
+                    entries, out = [], [(folder, "error", 0, 0, e.strerror)]
+                for e in entries:
+                    try:
+                        if e.is_dir(follow_symlinks=False):
+                            out.append((e.path, "folder", 0, 0, None))
+                        elif e.is_file(follow_symlinks=False):
+                            st = e.stat(follow_symlinks=False)
+                            out.append((e.path, "file", st.st_size, st.st_mtime_ns, None))
+                    except OSError as x:
+                        out.append((e.path, "error", 0, 0, x.strerror))
+                yield pd.DataFrame(out, columns=["path", "what", "size_bytes", "mtime_ns", "reason"])
+
+    ddl = "path string, what string, size_bytes long, mtime_ns long, reason string"
+    folders, found = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        level = checkpoint(folders.mapInPandas(listed, ddl))
+        found = level if found is None else found.unionByName(level)
+        folders = level.where("what = 'folder'").where(P.is_scanned(F.concat("path", F.lit("/x.jpg")))).select("path").repartition("path")
+        if folders.isEmpty():
+            break
+    files = found.where("what = 'file'").where(P.is_scanned(F.col("path"))).select("path", "size_bytes", "mtime_ns")
+    return files.where("size_bytes > 0"), files.where("size_bytes = 0").select("path"), found.where("what = 'error'").select("path", "reason")
+
+
 def contents(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")
 
@@ -151,30 +190,50 @@ def read_exif(files: DataFrame) -> DataFrame:
 # previews ---------------------------------------------------------------------------------------------------------
 
 
-def jpeg_size(data: bytes, at: int) -> tuple[int, int] | None:
-    """(width, height) in the frame header of a JPEG that starts at ``at``."""
-    at += 2
-    while at + 9 < len(data) and data[at] == 0xFF:
-        marker = data[at + 1]
-        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            h, w = struct.unpack_from(">HH", data, at + 5)
-            return (w, h) if w and h else None
-        if marker == 0xDA:
+class TooLarge(ValueError):
+    """A file beyond what is looked through."""
+
+
+def jpeg_extent(data: bytes, at: int) -> tuple[int, tuple[int, int] | None] | None:
+    """(end, (width, height) of the frame header) of the JPEG that begins at a place: its segments are walked by their
+    lengths, and coded data up to the next marker that isn't a stuffed byte or a restart; None for anything else. What
+    lies inside a segment, a thumbnail of its own say, doesn't end it."""
+    n, at, size = len(data), at + 2, None
+    while at + 1 < n and data[at] == 0xFF:
+        while at + 1 < n and data[at + 1] == 0xFF:  # fill bytes
+            at += 1
+        if at + 1 >= n:
+            return None
+        marker, at = data[at + 1], at + 2
+        if marker == 0xD9:
+            return at, size
+        if marker == 0x01 or 0xD0 <= marker <= 0xD8:
+            continue
+        if at + 2 > n or (length := struct.unpack_from(">H", data, at)[0]) < 2:
             return None
-        at += 2 + struct.unpack_from(">H", data, at + 2)[0]
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC) and length >= 7 and at + 7 <= n and size is None:
+            h, w = struct.unpack_from(">HH", data, at + 3)
+            size = (w, h) if w and h else None
+        at += length
+        if marker == 0xDA:
+            while (at := data.find(b"\xff", at)) >= 0 and at + 1 < n and (data[at + 1] == 0 or 0xD0 <= data[at + 1] <= 0xD7):
+                at += 2
+            if at < 0:
+                return None
     return None
 
 
 def previews(data: bytes, least: int = 512, most: int = 256 << 20) -> list[tuple[int, int, int, int]]:
     """(start, end, width, height) of embedded JPEGs with a long edge of at least ``least``, the largest first, the
-    shorter file first among equals."""
-    out, at = [], data.find(b"\xff\xd8\xff", 0, most)
+    shorter file first among equals. The search goes on behind a JPEG that was found."""
+    if len(data) > most:
+        raise TooLarge(f"{len(data)} bytes")
+    out, at = [], data.find(b"\xff\xd8\xff")
     while at >= 0:
-        size = jpeg_size(data, at)
-        end = data.find(b"\xff\xd9", at, most)
-        if size and end > 0 and max(size) >= least:
-            out.append((at, end + 2, *size))
-        at = data.find(b"\xff\xd8\xff", at + 2, most)
+        end, size = jpeg_extent(data, at) or (0, None)
+        if size and max(size) >= least:
+            out.append((at, end, *size))
+        at = data.find(b"\xff\xd8\xff", max(end, at + 3))
     return sorted(out, key=lambda p: (-p[2] * p[3], p[1] - p[0]))
 
 
@@ -195,6 +254,17 @@ def decode_gray(data: bytes) -> tuple[int, int, bytes] | None:
     return w, h, data[len(data) - w * h :]
 
 
+def decode_source(data: bytes, picture, raw=None) -> np.ndarray | None:
+    """The first picture that can be had: embedded previews in their order, the file itself, then its raw data.
+    ``picture`` and ``raw`` are decoders of bytes to an array, or None where they can't read them."""
+    for start, end, _, _ in previews(data):
+        if (found := picture(data[start:end])) is not None:
+            return found
+    if (found := picture(data)) is not None:
+        return found
+    return raw(data) if raw is not None else None
+
+
 # sidecars ---------------------------------------------------------------------------------------------------------
 
 
@@ -213,6 +283,7 @@ def parse_sidecar(text: Column) -> Column:
     )
 
 
+# Fixed value: a document without properties.
 _EMPTY = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:xmp="http://ns.adobe.com/xap/1.0/"/></rdf:RDF></x:xmpmeta>'
 
 
@@ -242,11 +313,52 @@ def sidecar_plan(photos: DataFrame, decisions: DataFrame, primary: DataFrame) ->
     return rows.select("photo_id", sidecar_path(F.col("path")).alias("path"), status.alias("status"))
 
 
+def write_sidecars(plan: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Writes the sidecars of a plan (``sidecar_plan``) beside the files, merged into those that are there, and returns
+    (status, n, first_path). Executors write them; a file is written under another name and moved into place."""
+    todo = plan.where("status = 'write'").join(decisions.select("photo_id", "rating"), "photo_id")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.copy()
+            texts = []
+            for p in batch["path"]:
+                try:
+                    with open(p, encoding="utf-8") as f:
+                        texts.append(f.read())
+                except (OSError, UnicodeDecodeError):
+                    texts.append(None)
+            batch["text"] = texts
+            yield batch
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for p, text in zip(batch["path"], batch["text"], strict=True):
+                try:
+                    with open(f"{p}.new", "w", encoding="utf-8") as f:
+                        f.write(text)
+                    os.replace(f"{p}.new", p)
+                    out.append(("written", p))
+                except OSError:
+                    out.append(("failed", p))
+            yield pd.DataFrame(out, columns=["status", "path"])
+
+    have = todo.select("path", F.col("rating").cast("int").alias("rating")).mapInPandas(read, "path string, rating int, text string")
+    merged = have.select("path", merge_sidecar(F.coalesce("text", F.lit("")), F.col("rating"), F.lit(None).cast("string")).alias("text"))
+    done = merged.mapInPandas(write, "status string, path string")
+    skipped = plan.where("status != 'write'").select(F.lit("skipped").alias("status"), "path")
+    return done.unionByName(skipped).groupBy("status").agg(F.count("*").alias("n"), F.min(F.when(F.col("status") == "written", F.col("path"))).alias("first_path"))
+
+
 # logs and vocabularies --------------------------------------------------------------------------------------------
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The move log, a JSON object a line; blank lines are skipped, a broken line is an error."""
+    """The move log, a JSON object a line; blank lines are skipped, a broken line is an error, no log has no entries."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema("manifest"))
     lines = spark.read.text(path).where("trim(value) != ''")
     row = F.from_json("value", schema("manifest"), {"mode": "FAILFAST"})
     return lines.select(row.alias("x")).select("x.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fotolith.functions.paths import is_watched
@@ -35,13 +35,46 @@ def watch(events: DataFrame, root: str, delay: str = "3 seconds", seconds: int =
     return settled(wanted.withWatermark("ts", delay), seconds)
 
 
-def start(changes: DataFrame, on_batch, checkpoint: str, busy=lambda: False, every: str = "250 milliseconds"):
-    """Runs settled changes through ``on_batch(appeared, vanished)``. A batch that comes while another is handled is
-    dropped, as a full scan follows anyway."""
+class Deferred:
+    """Changes that wait while a delete is pending, in a folder that outlives the query."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self._path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def add(self, changes: DataFrame) -> None:
+        changes.select("path", "change", "at").write.mode("append").parquet(self.folder)
+
+    def with_waiting(self, changes: DataFrame) -> DataFrame:
+        """The changes and those that waited, the last one of each path."""
+        if not self._fs.exists(self._path):
+            return changes
+        every = changes.select("path", "change", "at").unionByName(self.spark.read.parquet(self.folder))
+        return every.groupBy("path").agg(F.max_by("change", "at").alias("change"), F.max("at").alias("at"))
+
+    def pending(self) -> int:
+        return self.spark.read.parquet(self.folder).select("path").distinct().count() if self._fs.exists(self._path) else 0
+
+    def clear(self) -> None:
+        self._fs.delete(self._path, True)
+
+
+def start(changes: DataFrame, on_batch, checkpoint: str, busy=lambda: False, deferring=lambda: False, every: str = "250 milliseconds"):
+    """Runs settled changes through ``on_batch(appeared, vanished)``. While ``deferring()`` (a delete is pending) they
+    wait; a batch that comes while another is handled is dropped, as a full scan follows anyway."""
+    deferred = Deferred(changes.sparkSession, f"{checkpoint.rstrip('/')}-deferred")
 
     def handle(df: DataFrame, batch_id: int) -> None:
-        if not busy():
-            on_batch(df.where("change = 'appeared'").select("path").orderBy("path"), df.where("change = 'vanished'").select("path").orderBy("path"))
+        if deferring():
+            deferred.add(df)
+        elif busy():
+            deferred.clear()
+        else:
+            rows = deferred.with_waiting(df)
+            appeared, vanished = (rows.where(F.col("change") == c).select("path").orderBy("path") for c in ("appeared", "vanished"))
+            on_batch(appeared, vanished)
+            deferred.clear()
 
     return changes.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(handle).start()
 

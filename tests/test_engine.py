@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fotolith.functions import imaging, media, paths
 from fotolith.operators import grid, ranks, resolve, scoring, sessions, tables, vectors
 from fotolith.plans.catalog import Catalog, TooNew, rescore
+from fotolith.plans.checkpoint import cutter
 from fotolith.sources import files as src
 from fotolith.streaming import settle
 
@@ -214,7 +215,7 @@ def test_exif_and_previews():
     assert src.tiff_fields(tiff) == {"model": "EOS R", "exposure_time": 1 / 500}
     jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", 8 + len(tiff)) + b"Exif\0\0" + tiff + b"\xff\xd9"
     assert src.metadata_block(jpeg)[:2] == b"II"
-    small = b"\xff\xd8\xff\xc0" + struct.pack(">HBHH", 11, 8, 600, 800) + b"\0" * 20 + b"\xff\xd9"
+    small = b"\xff\xd8\xff\xc0" + struct.pack(">HBHH", 11, 8, 600, 800) + b"\0" * 4 + b"\xff\xda\0\x02" + b"\0" * 20 + b"\xff\xd9"
     assert [p[2:] for p in src.previews(b"zz" + small + b"yy" + small[:-2] + b"123\xff\xd9")] == [(800, 600), (800, 600)]
     assert src.tiff_fields(b"rubbish") == {} and src.cr3_fields(b"\0" * 40) == {}
 
@@ -261,11 +262,16 @@ def test_catalog(spark, tmp_path):
 def test_people(spark):
     m = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "person_id long, face_id long")
     assert tables.merge_people(m, 1, 1)[0].count() == 3
-    assert tables.split_person(m, 1, spark.createDataFrame([(1,), (2,)], "face_id long"), 9) is None
-    assert tables.split_person(m, 1, spark.createDataFrame([(9,)], "face_id long"), 9) is None
     people = spark.createDataFrame([(1, "A", True), (2, None, False)], "id long, name string, confirmed boolean")
+    more = people.selectExpr("*", "0L as created_at", "0L as updated_at")
+    for faces in ([(1,), (2,)], [(9,)]):  # all, none
+        who, which = tables.split_person(more, m, 1, spark.createDataFrame(faces, "face_id long"), 9)
+        assert who.count() == 2 and {tuple(r) for r in which.collect()} == {(1, 1), (1, 2), (2, 3)}
+    who, which = tables.split_person(more, m, 1, spark.createDataFrame([(2,)], "face_id long"), 9)
+    assert {(r.id, r.name, r.confirmed) for r in who.collect()} == {(1, "A", True), (2, None, False), (3, None, True)}
+    assert {tuple(r) for r in which.collect()} == {(1, 1), (3, 2), (2, 3)}
     clusters = spark.createDataFrame([(1, 1, 2), (5, 1, 2), (6, 6, 3), (7, 6, 3), (8, 6, 3)], "id long, cluster long, size long")
-    p, f = tables.replace_people(people, m, clusters)
+    p, f = tables.replace_people(people, m, clusters, cutter(spark))
     assert {(r.id, r.confirmed) for r in p.collect()} == {(1, True), (3, False), (4, False)}
     assert {(r.person_id, r.face_id) for r in f.collect()} == {(1, 1), (1, 2), (3, 6), (3, 7), (3, 8), (4, 5)}
 
@@ -281,7 +287,7 @@ def test_filters_differ_by_dialect(spark):
 
 def test_destinations_and_plan(spark):
     m = spark.createDataFrame([("a", "t/x.cr3"), ("b", "t/x.cr3"), ("c", "t/y")], "source string, destination string")
-    assert {r.source: r.destination for r in tables.destinations(m).collect()} == {"a": "t/x.cr3", "b": "t/x~1.cr3", "c": "t/y"}
+    assert {r.source: r.destination for r in tables.destinations(m).collect()} == {"a": "t/x.cr3", "b": "t/x~2.cr3", "c": "t/y"}
     plan = spark.createDataFrame([("p", "1"), ("q", "2"), ("r", "3")], "path string, content_hash string")
     now = spark.createDataFrame([("p", "1"), ("q", "9"), ("s", "4")], "path string, content_hash string")
     assert {(r.path, r.problem) for r in tables.changed_since_plan(plan, now, 10, 0).collect()} == {("q", "changed"), ("r", "vanished"), ("s", "appeared")}
