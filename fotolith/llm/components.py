@@ -22,7 +22,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     while not edges.isEmpty():
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to"))
-        least = scratch.write(least, f"{name}_m{k}")
         jump = least.alias("a").join(least.alias("b"), F.col("a.to") == F.col("b.u")).select(F.col("a.u").alias("from"), F.col("b.to").alias("to"))
         jump = scratch.write(jump, f"{name}_j{k}")
         if labels is None:
@@ -33,7 +32,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         left, right = jump.select(F.col("from").alias("u"), F.col("to").alias("u2")), jump.select(F.col("from").alias("v"), F.col("to").alias("v2"))
         moved = edges.join(left, "u").join(right, "v").where(F.col("u2") != F.col("v2"))
         edges = scratch.write(moved.select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).distinct(), f"{name}_e{k + 1}")
-        scratch.drop(f"{name}_e{k}", f"{name}_m{k}", f"{name}_j{k}", f"{name}_l{k}")
+        scratch.drop(f"{name}_e{k}", f"{name}_j{k}", f"{name}_l{k}")
         k += 1
     if labels is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
