@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fotolith.functions.media import detail_camera
+from fotolith.operators.scoring import reference
 
+# The wording of explanations.
+UNSCORED, UNMEASURED, NO_TERMS = "not scored", "Not scored — this file produced no measurement.", "No per-term breakdown was recorded for this photograph."
+PERCENTILE, OF_SHOOT = "th percentile", "th percentile of this shoot"
 _FILE = ("id", "path", "role", "size_bytes", "mtime_ns", "content_hash")
 
 
@@ -101,19 +105,18 @@ def photo_details(photos: DataFrame, files: DataFrame, exif: DataFrame, scores:
 def explained(photos: DataFrame, scores: DataFrame, version: str, most: int = 4) -> DataFrame:
     """(photo_id, lines) from stored scores: a head with the rank's reference, then up to ``most`` terms by name."""
     size = F.coalesce("shoot_size", F.lit(0.0)).cast("long").cast("string")
-    near, far = F.concat(F.lit("of "), size, F.lit(" in this shoot")), F.concat(F.lit("across the library; this shoot has only "), size, F.lit(" frames"))
     band = F.initcap(F.coalesce(band_name(F.col("band")), F.lit("review")))
-    head = F.concat(band, F.lit(" — "), F.format_string("%.0f", F.bround(F.coalesce("composite", F.lit(0.0)), 0)), F.lit("/100 (ranked "), F.when(F.coalesce("shoot_relative", F.lit(0.0)) > 0.5, near).otherwise(far), F.lit(")"))
-    each = F.transform(F.slice("terms", 1, most), lambda t: F.concat(F.lit("  "), t["label"], F.lit(": "), F.round(t["percentile"]).cast("long").cast("string"), F.lit("th percentile")))
+    head = F.concat(band, F.lit(" — "), F.format_string("%.0f", F.bround(F.coalesce("composite", F.lit(0.0)), 0)), F.lit("/100 (ranked "), reference(F.coalesce("shoot_relative", F.lit(0.0)) > 0.5, size), F.lit(")"))
+    each = F.transform(F.slice("terms", 1, most), lambda t: F.concat(F.lit("  "), t["label"], F.lit(": "), F.round(t["percentile"]).cast("long").cast("string"), F.lit(PERCENTILE)))
     rows = photos.select(F.col("id").alias("photo_id")).join(_measures(scores, version), "photo_id", "left")
-    return rows.select("photo_id", F.when(F.col("terms").isNull(), F.array(F.lit("not scored"))).otherwise(F.concat(F.array(head), each)).alias("lines"))
+    return rows.select("photo_id", F.when(F.col("terms").isNull(), F.array(F.lit(UNSCORED))).otherwise(F.concat(F.array(head), each)).alias("lines"))
 
 
 def explained_native(details: DataFrame) -> DataFrame:
     """(photo_id, lines) in the short form, from ``photo_details``."""
-    head = F.when(F.col("composite").isNull(), "Not scored — this file produced no measurement.").otherwise(F.concat(F.format_string("%.0f", F.bround("composite", 0)), F.lit("/100"), F.coalesce(F.concat(F.lit(" — "), F.col("band")), F.lit(""))))
-    each = F.transform("terms", lambda t: F.concat(t["label"], F.lit(": "), F.format_string("%.0f", F.bround(t["percentile"], 0)), F.lit("th percentile of this shoot")))
-    none = F.when((F.size("terms") == 0) & F.col("composite").isNotNull(), F.array(F.lit("No per-term breakdown was recorded for this photograph."))).otherwise(F.array().cast("array<string>"))
+    head = F.when(F.col("composite").isNull(), UNMEASURED).otherwise(F.concat(F.format_string("%.0f", F.bround("composite", 0)), F.lit("/100"), F.coalesce(F.concat(F.lit(" — "), F.col("band")), F.lit(""))))
+    each = F.transform("terms", lambda t: F.concat(t["label"], F.lit(": "), F.format_string("%.0f", F.bround(t["percentile"], 0)), F.lit(OF_SHOOT)))
+    none = F.when((F.size("terms") == 0) & F.col("composite").isNotNull(), F.array(F.lit(NO_TERMS))).otherwise(F.array().cast("array<string>"))
     return details.select("photo_id", F.concat(F.array(head), each, none).alias("lines"))
 
 

@@ -21,9 +21,19 @@ PRESETS = {
     "Street": (25, 20, 25, 15, 15),
 }
 TERMS = ("focus", "detail", "tonal range", "clipping", "noise")
+# The wording of an explanation.
+IN_SHOOT, IN_LIBRARY = ("of ", " in this shoot"), ("across the library; this shoot has only ", " frames")
+NOTHING_UP, NOTHING_DOWN = "  nothing above average for this shoot", "  nothing below average for this shoot"
+RANGE_USED, AT_EXTREME, NO_CLIPPING = "% of the range used", "% of pixels at an extreme", "no clipping"
 _M = [f"m{i}" for i in range(8)]
 
 
+def reference(relative: Column, size: Column) -> Column:
+    """What a rank refers to, in words."""
+    near, far = (F.concat(F.lit(a), size, F.lit(b)) for a, b in (IN_SHOOT, IN_LIBRARY))
+    return F.when(relative, near).otherwise(far)
+
+
 def preset(name: str) -> tuple[int, ...]:
     found = {k.lower(): v for k, v in PRESETS.items()}
     if name.lower() not in found:
@@ -131,16 +141,16 @@ def describe(t: Column) -> Column:
     name = F.concat(t["label"], F.lit(" "), grade)
     return (
         F.when(t["label"].isin("focus", "detail"), name)
-        .when(t["label"] == "tonal range", F.concat(name, F.lit(" — "), _fixed(t["raw"] * 100, 0), F.lit("% of the range used")))
-        .when((t["label"] == "clipping") & (t["raw"] <= 0.001), "no clipping")
-        .when(t["label"] == "clipping", F.concat(name, F.lit(" — "), _fixed(t["raw"] * 100, 1), F.lit("% of pixels at an extreme")))
+        .when(t["label"] == "tonal range", F.concat(name, F.lit(" — "), _fixed(t["raw"] * 100, 0), F.lit(RANGE_USED)))
+        .when((t["label"] == "clipping") & (t["raw"] <= 0.001), NO_CLIPPING)
+        .when(t["label"] == "clipping", F.concat(name, F.lit(" — "), _fixed(t["raw"] * 100, 1), F.lit(AT_EXTREME)))
         .otherwise(F.concat(name, F.lit(" (sigma "), _fixed(t["raw"], 1), F.lit(")")))
     )
 
 
 def explain(scored: DataFrame, preset_name: str = "Balanced") -> DataFrame:
     """photo_id and the lines that explain its score."""
-    ref = F.when(F.col("shoot_relative"), F.concat(F.lit("of "), F.col("shoot_size").cast("string"), F.lit(" in this shoot"))).otherwise(F.concat(F.lit("across the library; this shoot has only "), F.col("shoot_size").cast("string"), F.lit(" frames")))
+    ref = reference(F.col("shoot_relative"), F.col("shoot_size").cast("string"))
     rows = scored.withColumns({"__ref": ref, "__up": contributors(F.col("terms"))})
     rows = rows.withColumns({"__down": detractors(F.col("terms"), 2, F.col("__up")), "__any": detractors(F.col("terms"), 2)})
     head = F.concat(F.initcap("band"), F.lit(" — "), _fixed(F.col("composite"), 0), F.lit(f"/100 ({preset_name}, ranked "), F.col("__ref"), F.lit(")"))
@@ -149,8 +159,8 @@ def explain(scored: DataFrame, preset_name: str = "Balanced") -> DataFrame:
         return F.transform(of, lambda t: F.concat(F.lit(f"  {sign} "), describe(t), F.lit(" ("), ordinal(t["percentile"]), F.lit(" percentile "), F.col("__ref"), F.lit(")")))
 
     empty = F.array().cast("array<string>")
-    none_up = F.when(F.size("__up") == 0, F.array(F.lit("  nothing above average for this shoot"))).otherwise(empty)
-    none_down = F.when(F.size("__any") == 0, F.array(F.lit("  nothing below average for this shoot"))).otherwise(empty)
+    none_up = F.when(F.size("__up") == 0, F.array(F.lit(NOTHING_UP))).otherwise(empty)
+    none_down = F.when(F.size("__any") == 0, F.array(F.lit(NOTHING_DOWN))).otherwise(empty)
     return rows.select("photo_id", F.concat(F.array(head), lines("__up", "+"), lines("__down", "−"), none_up, none_down).alias("lines"))
 
 

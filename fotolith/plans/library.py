@@ -76,7 +76,7 @@ class Library:
     def _read_metadata(self, now: int) -> None:
         c = self.catalog
         due = tables.stale_exif(c.table("file"), c.table("exif"), READER).select(F.col("id").alias("file_id"), "path", "mtime_ns")
-        rows = sources.read_exif(self._contents(due).where("content is not null")).join(due, "path")
+        rows = sources.read_exif(self._contents(due)).where("status != 'unreadable'").join(due, "path")
         made = rows.select(
             "file_id", F.col("mtime_ns").alias("source_mtime_ns"), exif_time(F.col("taken")).alias("captured_at"), "make", "model", "lens", F.col("iso").cast("int").alias("iso"),
             "f_number", "exposure_time", "focal_length", F.col("orientation").cast("int").alias("orientation"), F.lit(now).cast("long").alias("read_at"), F.lit(READER).alias("reader_version"),

@@ -177,7 +177,7 @@ def bracket_detect(spark, d):
 q as (select *, row_number() over (partition by burst_id order by manual desc, score desc nulls last, photo_id) as k from z)
 select photo_id, burst_id, manual, is_bracket or manual or k <= 2 as keep from q""", ("shots",))
 def keepers(spark, d):
-    b = _bursts(spark, d)
+    b = cutter(spark)(_bursts(spark, d))  # read three times
     ids = b.select("photo_id")
     scores = ids.where("photo_id % 4 != 0").selectExpr("photo_id", "photo_id * 17 % 90 / 1e0 as score")
     return sessions.keepers(b, scores, ids.where("photo_id % 23 = 0")).select("photo_id", "burst_id", "manual", "keep")

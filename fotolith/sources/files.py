@@ -168,22 +168,32 @@ def cr3_fields(data: bytes, most: int = 4 << 20) -> dict:
     return out
 
 
+def _is_container(data: bytes) -> bool:
+    """Whether metadata would have been found: JPEG, TIFF or PNG."""
+    return data[:3] == b"\xff\xd8\xff" or data[:4] in (b"II*\0", b"MM\0*") or data[:8] == b"\x89PNG\r\n\x1a\n"
+
+
 def _exif_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["make", "model", "lens", "taken", "iso", "f_number", "exposure_time", "focal_length", "orientation"]
     for batch in batches:
         rows = []
         for path, data in zip(batch["path"], batch["content"], strict=True):
+            if data is None:
+                rows.append([path, "unreadable", *(None for _ in names)])
+                continue
             f = cr3_fields(data)
             block = None if f else metadata_block(data)
             f = f or (tiff_fields(block) if block else {})
             f["taken"] = f.get("taken") or f.get("changed")
             f["lens"] = f.get("lens") or f.get("lens_make")
-            rows.append([path, "parsed" if any(f.get(n) for n in names) else "absent", *(f.get(n) for n in names)])
+            status = "parsed" if any(f.get(n) for n in names) else "absent" if block or _is_container(data) else "unsupported"
+            rows.append([path, status, *(f.get(n) for n in names)])
         yield pd.DataFrame(rows, columns=["path", "status", *names]).astype({n: "float64" for n in ("iso", "f_number", "exposure_time", "focal_length", "orientation")})
 
 
 def read_exif(files: DataFrame) -> DataFrame:
-    """path, status (parsed or absent) and fields of files (path, content)."""
+    """path, status and fields of files (path, content): parsed; absent, the file has no metadata; unsupported, it is no
+    container that is read here, so nothing is said of the file; unreadable, there is no content."""
     return files.mapInPandas(_exif_rows, "path string, status string, make string, model string, lens string, taken string, iso double, f_number double, exposure_time double, focal_length double, orientation double")
 
 

@@ -380,3 +380,74 @@ def test_catalog_keeps_the_last_whole_state(spark, tmp_path):
     assert Catalog(spark, str(tmp_path / "cat")).table("setting").count() == 1
     assert json.loads(json.dumps(c._read()))["version"]
     assert tables.upsert(c.table("setting"), c.table("setting"), ["key"]).count() == 1
+
+
+# what models are given --------------------------------------------------------------------------------------------
+
+
+def test_model_inputs():
+    from fotolith.functions import modelinput as m
+
+    rgb = np.zeros((50, 100, 3), np.uint8)
+    rgb[..., 0], rgb[..., 2] = 200, 10
+    planes, scale, left, top = m.detector_input(rgb, 64)
+    assert planes.shape == (3, 64, 64) and (scale, left, top) == (0.64, 0.0, 16.0)
+    assert planes[0, 32, 32] == 10 and planes[2, 32, 32] == 200 and not planes[:, :15].any() and not planes[:, 49:].any()
+    assert m.outputs({"a": np.ones((2, 2))}, "a").tolist() == [1, 1, 1, 1]
+    with pytest.raises(ValueError, match="no output"):
+        m.outputs({}, "b")
+    seen = []
+    model = lambda x: (seen.append(x.shape), np.arange(128.0))[1]
+    marks = [38.2946, 51.6963, 73.5318, 51.5014, 56.0252, 71.7366, 41.5493, 92.3655, 70.7299, 92.2041]
+    assert len(m.embed_face(np.ones((120, 120, 3)), marks, model)) == 128 and seen == [(1, 3, 112, 112)]
+    with pytest.raises(ValueError, match="instead of 128"):
+        m.embed_aligned(np.ones((112, 112, 3)), lambda x: np.ones(4))
+    with pytest.raises(ValueError, match="aligned"):
+        m.embed_aligned(np.ones((10, 112, 3)), model)
+    v = m.embed_picture(rgb, lambda x: x.ravel()[:5], np.zeros(3), np.ones(3))
+    assert abs(float(np.linalg.norm(v)) - 1) < 1e-6
+    small = m.sent_picture(np.full((300, 1536, 3), 77, np.uint8))
+    assert small.shape == (150, 768, 3) and (small == 77).all()
+
+
+def test_endpoint():
+    from fotolith.sources import endpoint as e
+
+    sent = []
+
+    def transport(method, url, body, seconds):
+        sent.append((method, url, body))
+        if url.endswith("/health"):
+            return 200, b"ok"
+        if url.endswith("/models"):
+            return 200, b'{"data": [{"id": "m"}, {}]}'
+        if b"enable_thinking" in body:
+            return 400, b""
+        said = '```json\n{"tags": [{"name": "Sea", "confidence": 0.4}, {"name": "sea ", "confidence": 0.9}, {"name": " ", "confidence": 1}], "description": " "}\n```'
+        return 200, json.dumps({"choices": [{"message": {"content": said}}], "usage": {"prompt_tokens": 7, "completion_tokens": 3}}).encode()
+
+    server = e.Endpoint("http://10.0.0.7:8000/", "m", e.Egress(transport=transport), ("sea",))
+    assert server.healthy() and server.models() == ["m"]
+    assert server.tag(b"abc") == {"tags": [("sea", 0.9)], "description": None, "prompt_tokens": 7, "completion_tokens": 3}
+    assert "data:image/jpeg;base64,YWJj" in sent[-1][2].decode() and len(sent) == 4
+    with pytest.raises(e.Blocked):
+        e.Egress(transport=transport).fetch("http://example.com/")
+    for bad in (b'{"choices": []}', b'{"choices": [{"message": {"content": ""}}]}', b'{"choices": [{"message": {"content": "no"}}]}'):
+        with pytest.raises(ValueError):
+            e.parsed(bad)
+
+    def down(*_):
+        raise ConnectionError("down")
+
+    with pytest.raises(passes.Unreachable):
+        e.Endpoint("http://localhost", "m", e.Egress(transport=down)).tag(b"")
+
+
+def test_policy_is_the_column_rule(spark):
+    from fotolith.functions import media
+    from fotolith.sources.endpoint import Policy
+
+    urls = ["http://10.1.2.3/", "https://8.8.8.8", "http://172.31.0.1:80/x", "http://172.32.0.1", "http://100.64.1.1", "http://100.128.1.1", "http://[::1]:1/", "http://[fd00::1]/", "http://[2001:db8::1]/", "https://u@GitHub.com:443/a", "https://evilgithub.com", "http://a.localhost/", "nothing", "http://", "http://169.254.0.1", "http://192.168.1.1?x", "http://[fe80::1]/"]
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", media.permits(F.col("u")).alias("ok")).collect()
+    assert {r.u: r.ok for r in rows} == {u: Policy().permits(u) for u in urls}
+    assert Policy(extra=("Example.com",)).permits("http://example.COM/") and Policy(unrestricted=True).permits("http://example.com")
