@@ -18,11 +18,34 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads all documents as one batch, replays the batch (which changes nothing) and gives the totals."""
-    rollup = token_counts.Rollup(spark, f"{Scratch(spark).root}/rollup")
-    counted = token_counts.counted(_table(spark, sf_dir, "documents"), ["source", "lang"])
-    for _ in range(2):
-        rollup.commit("load", token_counts.inserts(counted, "byte_bpe_50k"))
+    """Totals by source, language and tokenizer version after a life of deltas over all documents: a third comes with exact
+    counts, a third with estimates that are revised, a third in a later batch; all are counted with a second
+    tokenizer; documents without tokens are withdrawn; batches are folded and every one is sent again."""
+    s = Scratch(spark)
+    docs = _table(spark, sf_dir, "documents").withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(3)))
+    docs = docs.withColumn("guess", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    keep = ["source", "lang", "part", "guess"]
+    first = s.write(token_counts.counted(docs, keep), "first")
+    second = s.write(token_counts.counted(docs, keep, ranks=token_counts.OTHER_RANKS), "second")
+    one, two = "byte_bpe_50k", "byte_bpe_multi_50k"
+    guessed = first.where("part = 1").withColumn("tokens", F.col("guess"))
+    batches = {
+        "exact": token_counts.inserts(first.where("part = 0"), one),
+        "guessed": token_counts.inserts(guessed, one),
+        "revised": token_counts.revisions(guessed, one, first.where("part = 1"), one),
+        "later": token_counts.inserts(first.where("part = 2"), one),
+        "other": token_counts.inserts(second, two),
+        "withdrawn": token_counts.deletes(first.where("tokens = 0"), one).unionByName(token_counts.deletes(second.where("tokens = 0"), two)),
+    }
+    rollup = token_counts.Rollup(spark, f"{s.root}/rollup")
+    for k, (name, deltas) in enumerate(batches.items()):
+        rollup.commit(name, deltas)
+        if k == 3:
+            rollup.compact()
+    rollup.compact()
+    for name, deltas in batches.items():
+        rollup.commit(name, deltas)
+    s.drop("first", "second")
     return rollup.totals()
 
 

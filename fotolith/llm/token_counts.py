@@ -7,11 +7,12 @@ batches may come in any order.
 
 Commits are idempotent: a batch is written under a name of its own and is moved to its final name, which only one
 writer can do; a batch id that is there already is left as it is, so retries and replays change nothing. ``compact``
-folds batches into one and remembers their ids.
+folds batches into one that remembers their ids and what it covers; the move of that folder is the moment it counts.
 
 Defined results: null texts have no tokens but count as documents; null source or language is a group of its own; groups
 that cancel out to zero documents and tokens are left out of ``totals``; repeated rows count each; empty batches commit
-an empty delta. Extra columns are not read.
+an empty delta, and an empty table gives empty totals. Very long texts are counted whole, piece by piece. Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fotolith.llm import textkernel as tk
+
 KEYS = ("source", "lang", "version")
 DELTA = T.StructType([T.StructField("batch", T.StringType()), *(T.StructField(k, T.StringType()) for k in KEYS), T.StructField("documents", T.LongType()), T.StructField("tokens", T.LongType())])
-DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+DEFAULT_RANKS, OTHER_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Splits a text into words before merging bytes, as the vocabulary was made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _encodings: dict[bytes, object] = {}
@@ -60,11 +63,13 @@ def count_tokens(encoding, text: str | None) -> int:
     return total + len(encoding.encode_ordinary(text[at:]))
 
 
+@tk.tidy
 def _count(batches: Iterator[pa.RecordBatch], raw, text: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
     encoding = _encoding(raw.value)
-    for batch in batches:
-        n = [count_tokens(encoding, t) for t in batch.column(text).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64())], names=[*keep, "tokens"])
+    for whole in batches:
+        for batch in tk.slices(whole, text):
+            n = [count_tokens(encoding, t) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64())], names=[*keep, "tokens"])
 
 
 def counted(documents: DataFrame, keep: list[str], text: str = "text", ranks: str = DEFAULT_RANKS) -> DataFrame:
@@ -90,37 +95,51 @@ def revisions(old: DataFrame, old_version: str, new: DataFrame, new_version: str
 
 
 class Rollup:
-    """A rollup under a folder that all executors share."""
+    """A rollup under a folder that all executors share: ``batches`` has a folder for each committed batch, and folders
+    that stand for several (named with a plus), which say what they cover. Covered folders count no more, whether
+    they are deleted yet or not, so compaction takes effect in one rename."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _batches(self) -> list[str]:
+    def _folders(self) -> list[str]:
         top = self._path(f"{self.root}/batches")
-        if not self._fs.exists(top):
-            return []
-        return sorted(f.getPath().getName() for f in self._fs.listStatus(top))
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(top)) if self._fs.exists(top) else []
+
+    def _covered(self, folders: list[str]) -> set[str]:
+        """Of these folders those that another one stands for."""
+        paths = [f"{self.root}/batches/{n}/covers" for n in folders if n.startswith("+")]
+        if not paths:
+            return set()
+        rows = self.spark.read.schema("folder string").parquet(*paths).where(F.col("folder").isin(folders)).collect()  # as many as folders are there
+        return {r[0] for r in rows}
+
+    def _live(self) -> list[str]:
+        folders = self._folders()
+        covered = self._covered(folders)
+        return [n for n in folders if n not in covered]
 
     @staticmethod
     def _name(batch: str) -> str:
         return base64.urlsafe_b64encode(batch.encode()).decode().rstrip("=") or "="
 
-    def committed(self) -> set[str]:
-        """Ids of all batches, compacted ones included: as many as there were batches, not rows."""
-        names = {base64.urlsafe_b64decode(n + "=" * (-len(n) % 4)).decode() for n in self._batches() if not n.startswith("+")}
-        for n in (n for n in self._batches() if n.startswith("+")):
-            names |= {r[0] for r in self.spark.read.schema("id string").json(f"{self.root}/batches/{n}/ids").collect()}
-        return names
+    def committed(self, batch: str) -> bool:
+        """Whether a batch is in, as a folder of its own or folded into another. The ids of folded batches are looked
+        through by the executors."""
+        if self._fs.exists(self._path(f"{self.root}/batches/{self._name(batch)}")):
+            return True
+        paths = [f"{self.root}/batches/{n}/ids" for n in self._live() if n.startswith("+")]
+        return bool(paths) and not self.spark.read.schema("id string").parquet(*paths).where(F.col("id") == batch).isEmpty()
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Adds a batch once; False if its id is there already."""
-        if batch in self.committed():
+        if self.committed(batch):
             return False
         rows = deltas.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).select(F.lit(batch).alias("batch"), *KEYS, "documents", "tokens")
         staged = f"{self.root}/staged/{uuid.uuid4().hex}"
-        rows.coalesce(1).write.parquet(f"{staged}/deltas")
+        rows.write.parquet(f"{staged}/deltas")
         return self._publish(staged, self._name(batch))
 
     def _publish(self, staged: str, name: str) -> bool:
@@ -136,24 +155,44 @@ class Rollup:
         return True
 
     def deltas(self) -> DataFrame:
-        paths = [f"{self.root}/batches/{n}/deltas" for n in self._batches()]
+        paths = [f"{self.root}/batches/{n}/deltas" for n in self._live()]
         return self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
 
     def totals(self) -> DataFrame:
         """source, lang, version, documents, tokens."""
         return self.deltas().groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents != 0 or tokens != 0")
 
-    def compact(self) -> None:
-        """Folds all batches into one, with the ids it stands for."""
-        names, ids = self._batches(), sorted(self.committed())
-        if len(names) < 2:
-            return
-        staged = f"{self.root}/staged/{uuid.uuid4().hex}"
-        self.totals().select(F.lit(None).cast("string").alias("batch"), *KEYS, "documents", "tokens").coalesce(1).write.parquet(f"{staged}/deltas")
-        self.spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1).write.json(f"{staged}/ids")
-        old = f"{self.root}/old/{uuid.uuid4().hex}"
-        self._fs.mkdirs(self._path(old))
-        for n in names:
-            self._fs.rename(self._path(f"{self.root}/batches/{n}"), self._path(f"{old}/{n}"))
-        self._publish(staged, "+" + uuid.uuid4().hex)
-        self._fs.delete(self._path(old), True)
+    def compact(self) -> bool:
+        """Folds all batches into one that knows their ids. One compaction runs at a time (a lock file); a crash at any point
+        leaves the totals as they were or as they are, and the next compaction cleans up. False if there was nothing to
+        fold or the lock was taken; a lock left by a crash is removed with ``unlock``."""
+        lock = self._path(f"{self.root}/compacting")
+        if not self._fs.createNewFile(lock):
+            return False
+        try:
+            self._sweep()
+            live = self._live()
+            if len(live) < 2:
+                return False
+            staged = f"{self.root}/staged/{uuid.uuid4().hex}"
+            rows = self.spark.read.schema(DELTA).parquet(*(f"{self.root}/batches/{n}/deltas" for n in live))
+            rows = rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+            rows.select(F.lit(None).cast("string").alias("batch"), *KEYS, "documents", "tokens").write.parquet(f"{staged}/deltas")
+            own = [(base64.urlsafe_b64decode(n + "=" * (-len(n) % 4)).decode(),) for n in live if not n.startswith("+")]
+            ids = self.spark.createDataFrame(own, "id string")
+            older = [f"{self.root}/batches/{n}/ids" for n in live if n.startswith("+")]
+            (ids.union(self.spark.read.schema("id string").parquet(*older)) if older else ids).write.parquet(f"{staged}/ids")
+            self.spark.createDataFrame([(n,) for n in live], "folder string").write.parquet(f"{staged}/covers")
+            done = self._publish(staged, "+" + uuid.uuid4().hex)
+            self._sweep()
+            return done
+        finally:
+            self.unlock()
+
+    def _sweep(self) -> None:
+        """Deletes covered folders."""
+        for n in sorted(self._covered(self._folders())):
+            self._fs.delete(self._path(f"{self.root}/batches/{n}"), True)
+
+    def unlock(self) -> None:
+        self._fs.delete(self._path(f"{self.root}/compacting"), False)
