@@ -20,14 +20,14 @@ PIECES = pieces.DEFAULT_MODEL
 
 
 def test_rules_and_parts(spark):
-    urls = ["HTTP://WWW.Example.org/es/1?x", "https://a.example.org/en/12", "https://example.org/en/2", "http://x.com/fr/1#t", "http://x.com/de/1", "http://x.net/a", "no scheme", None, "http://org", "http://badorg/x", "ftp://y.org?q=/es/"]
+    urls = ["HTTP://WWW.Example.org/es/1?x", "https://a.example.org/en/12", "https://example.org/en/2", "http://x.com/fr/1#t", "http://x.com/de/1", "http://x.net/a", "no scheme", None, "http://org", "http://badorg/x", "ftp://y.org?q=/es/", "http://x.com/free", "http://x.com/fr", "http://x.com/frauds/fr/"]
     df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule) for r in url_filter.judge(df).collect()}
     assert got == {
         0: ("www.example.org", "/es/1", "example.org/es/"),
         1: ("a.example.org", "/en/12", "example.org/en/1"),
         2: ("example.org", "/en/2", "org/"),
-        3: ("x.com", "/fr/1", "com/fr"),
+        3: ("x.com", "/fr/1", "com/fr/"),
         4: ("x.com", "/de/1", "com/de/"),
         5: ("x.net", "/a", None),
         6: ("", "", None),
@@ -35,6 +35,9 @@ def test_rules_and_parts(spark):
         8: ("org", "", None),
         9: ("badorg", "/x", None),
         10: ("y.org", "", None),
+        11: ("x.com", "/free", None),
+        12: ("x.com", "/fr", None),
+        13: ("x.com", "/frauds/fr/", None),
     }
     assert url_filter.judge(df.where("false")).count() == 0
 
@@ -78,6 +81,78 @@ def test_method_learns_from_rules(spark):
     assert got[1000].score == got[1002].score and got[1].verdict == "allow" and got[2].verdict == "block"
 
 
+def brute_judge(urls, order=4, alphabet=256):
+    """Rules, models, calibration and verdicts without Spark, the fold of a URL given by the caller."""
+    rules = [(True, "org", "/"), (False, "example.org", "/es/"), (False, "example.org", "/en/1"), (True, "com", "/fr/"), (False, "com", "/de/")]
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    parts = {}
+    for u in urls:
+        m = re.match(r"(?s)(.*?://)([^/?#]*)([^?#]*)(.*)$", u or "")
+        host, path = (lower(m[2]), m[3]) if m else ("", "")
+        fits = [(len(h + p), -i, i) for i, (_, h, p) in enumerate(rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        parts[u] = host, path, max(fits)[2] if fits else None, lower(m[1] + m[2]) + m[3] + m[4] if m else ""
+    return rules, parts
+
+
+def test_judging_against_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda abc: "".join(rng.choice(abc) for _ in range(rng.randint(2, 7)))
+    urls = [f"http://{word('abc')}.org/{word('abcd')}" for _ in range(60)] + [f"https://{word('xyz')}.com/de/{word('xyzw')}" for _ in range(60)]
+    urls += [f"{start}{word(abc)}.net/{way}{word(abc)}?q={word(abc)}" for start, way, abc in (("http://", "", "abcd"), ("https://", "de/", "xyzw"), ("http://", "", "abxy")) for _ in range(20)] + [None, "none", "http://a.COM/fr/é#x", urls[3], urls[3], urls[70]]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(df).collect()}
+    rules, parts = brute_judge(urls)
+    folds = {r.body: r.held for r in spark.createDataFrame([(p[3],) for p in parts.values()], "body string").distinct().select("body", (F.pmod(F.xxhash64("body"), F.lit(5)) == 0).alias("held")).collect()}
+    weight = Counter(parts[u][3] for u in urls)
+    allow = {p[3]: rules[p[2]][0] for p in parts.values() if p[2] is not None}
+    counts = {True: Counter(), False: Counter()}
+    grams = lambda b: [("\x02" * 4 + b + "\x03")[i : i + 5] for i in range(len(b) + 1)]
+    for b, side in allow.items():
+        if b and not folds[b]:
+            for g in grams(b):
+                counts[side][g] += weight[b]
+
+    after = {side: defaultdict(Counter) for side in counts}
+    for side, own in counts.items():
+        for g, n in own.items():
+            for k in range(5):
+                after[side][g[4 - k : 4]][g[4]] += n
+
+    def p(side, gram):
+        out = 1 / 256
+        for k in range(5):
+            seen = after[side].get(gram[4 - k : 4], Counter())
+            total, kinds = sum(seen.values()), len(seen)
+            out = (seen[gram[4]] + kinds * out) / (total + kinds) if total else out
+        return out
+
+    memo = {}
+    ratio = lambda g: memo.setdefault(g, math.log(p(True, g)) - math.log(p(False, g)))
+    score = {b: sum(map(ratio, grams(b))) / (len(b) + 1) if b else 0.0 for b in folds}
+    stats = []
+    for side in (True, False):
+        own = [(score[b], weight[b]) for b, a in allow.items() if a == side and b and folds[b]]
+        n = sum(w for _, w in own)
+        mean = sum(x * w for x, w in own) / n
+        stats.append((mean, math.sqrt(max(sum(x * x * w for x, w in own) / n - mean * mean, 0))))
+    (m1, d1), (m0, d0) = stats
+    limit = (m1 * d0 + m0 * d1) / (d0 + d1)
+    for i, u in enumerate(urls):
+        host, path, rule, body = parts[u]
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, None if rule is None else rules[rule][1] + rules[rule][2])
+        assert abs(got[i].score - score[body]) < 1e-6 and abs(got[i].threshold - limit) < 1e-6
+        said = rules[rule][0] if rule is not None else got[i].score >= got[i].threshold
+        assert got[i].verdict == ("allow" if said else "block")
+    assert {got[i].verdict for i, u in enumerate(urls) if parts[u][2] is None} == {"allow", "block"}
+
+
+def test_a_very_long_url_takes_time_in_proportion(spark):
+    long = "http://x.net/" + "ab/" * 20000
+    rows = [(0, long), (1, "http://a.org/x"), (2, "http://a.com/de/y")]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(got[0].path) == 60001 and got[1].verdict == "allow" and got[2].verdict == "block"
+
+
 # token counts
 
 
@@ -96,11 +171,48 @@ def test_rollup(spark, tmp_path):
     roll.compact()
     assert {tuple(r) for r in roll.totals().collect()} == want
     assert not roll.commit("gone/1", token_counts.inserts(rows, "v1"))
-    assert roll.committed() == {"b1", "gone/1", "new"}
+    assert all(map(roll.committed, ("b1", "gone/1", "new"))) and not roll.committed("empty")
     roll.commit("empty", token_counts.inserts(rows.where("false"), "v1"))
     assert {tuple(r) for r in roll.totals().collect()} == want
 
 
+def test_compaction_may_die_anywhere(spark, tmp_path, monkeypatch):
+    roll = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    rows = spark.createDataFrame([("a", "en", 3)], "source string, lang string, tokens long")
+    for k in range(3):
+        roll.commit(f"b{k}", token_counts.inserts(rows, "v"))
+    want = [("a", "en", "v", 3, 9)]
+    totals = lambda: [tuple(r) for r in roll.totals().collect()]
+    sweep = token_counts.Rollup._sweep
+    monkeypatch.setattr(token_counts.Rollup, "_sweep", lambda self: None)  # died before the old folders went
+    assert roll.compact() and totals() == want and len(roll._folders()) == 4
+    assert not roll.commit("b1", token_counts.inserts(rows, "v"))
+    monkeypatch.setattr(token_counts.Rollup, "_publish", lambda self, staged, name: (_ for _ in ()).throw(OSError("died")))
+    with pytest.raises(OSError):
+        roll._folders() and roll.commit("late", token_counts.inserts(rows, "v"))
+    monkeypatch.undo()
+    assert token_counts.Rollup._sweep is sweep
+    assert roll.commit("late", token_counts.inserts(rows, "v")) and roll.compact()
+    assert totals() == [("a", "en", "v", 4, 12)] and len(roll._folders()) == 1
+    assert all(not roll.commit(b, token_counts.inserts(rows, "v")) for b in ("b0", "b1", "b2", "late"))
+    (tmp_path / "r" / "compacting").write_bytes(b"")
+    assert not roll.compact()
+    roll.unlock()
+
+
+def test_the_query_counts_what_brute_force_counts(spark, sf_dir):
+    got = {tuple(r) for r in QUERIES["op2_token_counts"](spark, sf_dir).collect()}
+    want = Counter()
+    for version, path in (("byte_bpe_50k", token_counts.DEFAULT_RANKS), ("byte_bpe_multi_50k", token_counts.OTHER_RANKS)):
+        with open(path, "rb") as f:
+            enc = token_counts._encoding(f.read())
+        for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+            if n := len(enc.encode_ordinary(r.text or "")):
+                want[r.source, r.lang, version, "d"] += 1
+                want[r.source, r.lang, version, "t"] += n
+    assert got == {(s, la, v, want[s, la, v, "d"], want[s, la, v, "t"]) for s, la, v, _ in want}
+
+
 def test_counts(docs_of, odd):
     with open(token_counts.DEFAULT_RANKS, "rb") as f:
         enc = token_counts._encoding(f.read())
@@ -162,20 +274,55 @@ def test_pieces_equal_the_library(docs_of, odd):
     assert pieces.encode(docs_of([])).count() == 0
 
 
-def test_unigram_trellis():
-    m = pieces.PieceModel.__new__(pieces.PieceModel)
-    m.scores = {"▁": -2.0, "▁a": -1.5, "b": -2.0, "ab": -2.2, "▁ab": -3.4, "c": -1.0, "bc": -2.5}
-    m.ids = {p: i for i, p in enumerate(m.scores)}
-    m.kind, m.longest, m.floor, m.byte_ids, m.unknown, m.cache = 1, 3, -20.0, {}, 99, {}
-    words = sorted(["▁abc", "▁ab", "▁abbc", "▁xc", "▁aba", "b"])
-    m.encode_words(words)
+def unigram_model():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    for piece, score, kind in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("▁", -2.0, 1), ("▁a", -1.5, 1), ("b", -2.0, 1), ("ab", -2.2, 1), ("▁ab", -3.4, 1), ("c", -1.0, 1), ("bc", -2.5, 1), ("a", -3.1, 1), ("aba", -4.7, 1), ("▁▁", -3.9, 1)]:
+        m.pieces.add(piece=piece, score=score, type=kind)
+    m.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    m.normalizer_spec.name = "identity"
+    m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = True, False, True
+    return m.SerializeToString()
+
+
+def test_unigram_search():
+    import pyarrow as pa
+
+    m = pieces.PieceModel(unigram_model())
+    assert m.kind == 1
 
     def best(w):
         if not w:
             return 0.0, []
-        return max(((best(w[:k])[0] + m.scores.get(w[k:], m.floor if len(w) - k == 1 else -1e9), best(w[:k])[1] + [m.ids.get(w[k:], 99)]) for k in range(len(w))), key=lambda x: x[0])
+        ways = []
+        for k in range(len(w)):
+            piece = m.ids.get(w[k:])
+            if piece is not None or len(w) - k == 1:
+                before = best(w[:k])
+                ways.append((before[0] + (m.floor if piece is None else m.scores[piece]), before[1] + [m.unknown if piece is None else piece]))
+        return max(ways, key=lambda x: x[0])
+
+    rng = random.Random(3)
+    texts = ["abc ab abbc xc aba b", "", "  a"] + ["".join(rng.choice("abcx ") for _ in range(rng.randint(1, 20))) for _ in range(200)]
+    ids, bounds = m.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        words = re.findall("▁+[^▁]*", "▁" + t.replace(" ", "▁")) if t else []
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == [x for w in words for x in best(w)[1]], t
+
 
-    assert all(m.cache[w] == best(w)[1] for w in words)
+def test_forgetting_changes_nothing(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("the an ing  éß日 123\n.,#") for _ in range(60)) for _ in range(60)]
+    with open(PIECES, "rb") as f:
+        raw = f.read()
+    ids, _ = pieces.PieceModel(raw).encode(pa.array(texts))
+    for name in ("CACHE", "BORDERS", "STEPS"):
+        monkeypatch.setattr(pieces, name, 5)
+    m = pieces.PieceModel(raw)
+    assert [x for t in texts for x in m.encode(pa.array([t]))[0].tolist()] == ids.tolist()
 
 
 # classifier
@@ -186,6 +333,26 @@ def test_classifier_on_held_out(spark, sf_dir):
     assert got and sum(r.predicted == r.quality for r in got) >= 0.9 * len(got)
 
 
+def test_voting_against_brute_force(spark, sf_dir):
+    import numpy as np
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), None, quality_classifier.Settings(sample=60, neighbours=7))
+    texts = [r.text for r in docs.orderBy("doc_id").limit(40).collect()]
+    texts += [texts[0], "", "zzz"]
+    got = model.score(pa.array(texts))
+    for t, score in zip(texts, got):
+        x = (quality_classifier.features(pa.array([t]))[0] * model.weights) @ model.axes
+        x = x / max(float(np.linalg.norm(x)), 1e-9)
+        near = sorted(((-float(x @ v), k) for k, v in enumerate(model.vectors)))[:7]
+        votes = [(max(-s, 0.0) ** 2, model.labels[k]) for s, k in near]
+        total = sum(v for v, _ in votes)
+        want = sum(v * y for v, y in votes) / total if total else model.prior
+        assert abs(want - score) < 1e-4, t
+    assert 0 < len(model.labels) <= 60 and len(set(model.labels)) == 2
+
+
 def test_classifier_odd_cases(spark, docs_of, odd):
     docs = docs_of(odd)
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (5, None, 0), (6, 7, 0), (99, 1, 0), (None, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")

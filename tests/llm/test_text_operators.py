@@ -69,8 +69,9 @@ def brute_windows(docs, items, n=10):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_decontamination(spark, docs_of, odd, block):
+@pytest.mark.parametrize("block, group", [(1 << 20, 4), (40, 4), (40, 1)])
+def test_decontamination(spark, docs_of, odd, block, group, monkeypatch):
+    monkeypatch.setattr(decontamination, "GROUP", group)
     items = [(1, "Alpha beta gamma, delta epsilon zeta eta theta iota kappa lambda mu"), (2, "short item"), (3, None), (4, "..."), (5, "alpha BETA gamma delta epsilon zeta eta theta iota kappa"), (None, "same text of")]
     texts = [*odd, "x alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu. y", "a short-item b short item", "nothing at all in here to find"]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -90,6 +91,34 @@ def test_spans_are_removed(spark, docs_of):
     assert decontamination.remove(docs_of([text]), bench).first().text == "Start, a b c d e f g h i j k l m n. ! end"
 
 
+@pytest.mark.parametrize("group", [4, 1])
+def test_what_stood_around_a_passage_is_scanned_again(spark, docs_of, group, monkeypatch):
+    monkeypatch.setattr(decontamination, "GROUP", group)
+    how = {} if group == 4 else {"block_bytes": 1}
+    bench = spark.createDataFrame([("x-1", "one two three four five six seven eight nine ten"), ("x-2", "a b c")], "item_id string, text string")
+    filler = " ".join(f"w{i}" for i in range(60))
+    text = f"{filler} one two three four five a b c six seven eight nine ten {filler}"
+    nested = "a " * 12 + filler + " b c" * 2
+    kept = {r.doc_id: r.text for r in decontamination.remove(docs_of([text, filler, nested]), bench, **how).collect()}
+    assert "ten" not in kept[0] and kept[0].startswith(filler) and kept[0].endswith(filler) and kept[1] == filler and kept[2] == nested
+    report = {r.doc_id: (r.n_hit, r.n_items) for r in decontamination.report(docs_of([text, "a b c", filler]), bench, **how).collect()}
+    assert report == {0: (3, 1), 1: (3, 1), 2: (0, 0)}
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    from fotolith.llm import textkernel
+
+    real = textkernel.windows
+    monkeypatch.setattr(textkernel, "windows", lambda tokens, rows, k: (lambda at, keys: (at, keys % 3))(*real(tokens, rows, k)))
+    words = [f"w{i}" for i in range(40)]
+    items = [(str(i), " ".join(words[i : i + 12])) for i in range(8)] + [("same", " ".join(words[2:14])), (None, " ".join(words[5:16]))]
+    import pyarrow as pa
+
+    block = decontamination.Windows(items, 10)
+    hits, found, n = decontamination.scan(pa.array([" ".join(words[4:15]), " ".join(words[20:40])], pa.large_string()), block)
+    assert found == [["2", "3", "4", "5", "same"], []] and n.tolist() == [11, 20] and hits[1] is None
+
+
 def brute_components(ids, texts):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -148,6 +177,62 @@ def test_keep_one(docs_of):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4]
 
 
+def test_one_id_with_two_texts(docs_of):
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    texts = [words("a", 40), words("b", 40), words("a", 40) + " x", words("b", 40) + " y", words("c", 40), words("a", 40)]
+    ids = [7, 7, 8, 3, 9, 7]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs_of(texts, ids)).collect()}
+    assert got == {(7, 36, 3), (8, 37, 3), (3, 37, 3), (9, 36, 9)}
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(docs_of(texts, ids)).collect()]
+    assert sorted(kept) == sorted([(7, texts[0]), (3, texts[3]), (9, texts[4])])
+
+
+def test_a_template_with_different_rests(docs_of):
+    """One prefix group whose members share the rarest shingles and little else, beside real near copies."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    common = [[word() for _ in range(60)] for _ in range(6)]
+    head = [word() for _ in range(30)]
+    texts = []
+    for i in range(36):
+        rest = common[i % 6] if i % 2 else rng.choice(common)
+        tail = list(rest)
+        if i % 3 == 0:
+            tail[rng.randrange(60)] = word()
+        texts.append(" ".join([*head, *tail]))
+    texts += [" ".join(head + c) for c in common for _ in range(3)]
+    ids = list(range(len(texts)))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs_of(texts, ids)).collect()}
+    assert got == brute_components(ids, texts)
+
+
+def test_words_that_a_power_of_two_would_confuse(docs_of):
+    """Thue-Morse words and lines are different words and lines."""
+    a, b = thue_morse(1024), thue_morse(1024).translate({97: "b", 98: "a"})
+    rest = " ".join(f"w{i}" for i in range(3))
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(docs_of([f"{a} {rest} z", f"{b} {rest} z"])).collect()}
+    assert got == {0: 0, 1: 1}
+    lines = {r.doc_id: r.n_dup_lines for r in quality_rules.annotate(docs_of([f"{a}\n{b}\n{a}", f"{a}\n{b}"])).collect()}
+    assert lines == {0: 1, 1: 0}
+
+
+def test_exact_sets_are_sets_of_words():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["a", "b", "Ab", "c"]) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    row, s = jaccard_join.exact_sets(pa.array(texts), 3)
+    names = {}
+    for i, t in enumerate(texts):
+        w = t.lower().split()
+        want = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+        got = s[row == i].tolist()
+        assert len(got) == len(want)
+        names[frozenset(want)] = names.get(frozenset(want), frozenset(got))
+        assert names[frozenset(want)] == frozenset(got)
+    assert len(set(names.values())) == len(names)
+
+
 def test_jaccard_of_nothing(docs_of):
     assert jaccard_join.join(docs_of([])).count() == 0
 
@@ -244,6 +329,7 @@ def test_pii(docs_of, odd):
     for i, t in enumerate(texts):
         want = brute_pii(t)
         assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), t
+        assert [got[i][f"n_{kind}"] for kind in _BASE] == [sum(x.startswith(f"{kind}:") for x in want) for kind in _BASE], t
         assert set(want) <= set(got[i].spans.split(","))
     red = {r.doc_id: r.text for r in pii.redact(docs, model=model).collect()}
     assert red[0] is None and red[1] == ""
