@@ -87,6 +87,14 @@ def unrated(r: Column, rejected: Column) -> Column:
     return (r == 0) & ~rejected
 
 
+def epoch_text(seconds: Column) -> Column:
+    """Epoch seconds as a date and time of day in UTC; "unknown" for null."""
+    day = F.date_format(F.date_from_unix_date(F.floor(seconds / 86400).cast("int")), "yyyy-MM-dd")
+    rest = F.pmod(seconds, F.lit(86400))
+    clock = F.format_string("%02d:%02d", F.floor(rest / 3600), F.floor(rest % 3600 / 60))
+    return F.coalesce(F.concat(day, F.lit(" "), clock, F.lit(" UTC")), F.lit("unknown"))
+
+
 def tag_name(name: Column) -> Column:
     return F.nullif(F.lower(F.trim(name, F.lit(_SPACES))), F.lit(""))
 

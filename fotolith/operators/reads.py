@@ -22,6 +22,10 @@ def capture_times(photos: DataFrame, files: DataFrame, exif: DataFrame) -> DataF
     return rows.select("photo_id", F.coalesce("model", "make", F.lit("")).alias("camera"), "captured_at").orderBy("captured_at", "photo_id")
 
 
+def library_at(libraries: DataFrame, root: str) -> DataFrame:
+    return libraries.where(F.col("root") == root)
+
+
 def files_for_photo(files: DataFrame, photo_id: int) -> DataFrame:
     """A photograph's files by role, then path."""
     return files.where(F.col("photo_id") == photo_id).select(*_FILE).orderBy("role", "path")

@@ -17,6 +17,18 @@ def session_number(partition: list[str], order: list[str], starts: Column) -> Co
     return F.sum(F.when(starts, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
+def shaped(frames: DataFrame) -> DataFrame:
+    """Frames as sessions expect them: a camera is trimmed and null where blank, an exposure that isn't positive is null;
+    other columns stay."""
+    out = frames.withColumn("camera", F.nullif(F.trim("camera", F.lit(" \t\n\r")), F.lit("")))
+    return out.withColumn("exposure_time", F.when(F.col("exposure_time") > 0, F.col("exposure_time"))) if "exposure_time" in frames.columns else out
+
+
+def redundant(burst_frames: DataFrame) -> DataFrame:
+    """(burst_id, size, redundant): whether a burst has more than one frame, so that some may go."""
+    return burst_frames.groupBy("burst_id").agg(F.count("*").alias("size")).withColumn("redundant", F.col("size") > 1)
+
+
 def shoots(frames: DataFrame, gap: int = SHOOT_GAP) -> DataFrame:
     """frames (photo_id, dir, camera, captured_at, ...) with shoot_id, shoot_size and time_clustered.
 

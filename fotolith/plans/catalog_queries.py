@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fotolith.functions import devices, media
-from fotolith.operators import decisions, grid, indexing, people, reads, tables, trash, vectors
+from fotolith.operators import decisions, grid, indexing, people, reads, sessions, tables, trash, vectors
 from fotolith.plans.checkpoint import cutter
 from fotolith.plans.datasets import frame
 from fotolith.plans.queries import _IN_VIEW, _VIEW, _read, _view, query
@@ -294,3 +294,46 @@ def clustering_sweep(spark, d):
     """Brute force in tests."""
     rows = vectors.synthetic(spark, 12, 9, 24, 0.25)
     return vectors.sweep(rows, [2, 8], cutter(spark))
+
+
+@query("select o_orderkey, case when o_orderkey % 10 = 0 then 'unknown' else strftime(make_timestamp((o_orderkey * 7919 - 3000000) * 1000000), '%Y-%m-%d %H:%M UTC') end as t from orders")
+def epoch_texts(spark, d):
+    at = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderkey") * 7919 - 3_000_000)
+    return _read(spark, d, "orders").select("o_orderkey", media.epoch_text(at).alias("t"))
+
+
+@query("select photo_id, nullif(case photo_id % 3 when 0 then '' else camera end, '') as camera, case when photo_id % 4 != 0 then exposure_time end as exposure_time from t_shots", ("shots",))
+def frame_shaping(spark, d):
+    f = frame(spark, d, "shots").withColumns({"camera": F.when(F.col("photo_id") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "camera", F.lit("\t"))), "exposure_time": F.when(F.col("photo_id") % 4 == 0, -1.0).otherwise(F.col("exposure_time"))})
+    return sessions.shaped(f).select("photo_id", "camera", "exposure_time")
+
+
+@query("+ x as (select camera, captured_at // 3600 as h, count(*) as n from t_shots where captured_at is not null group by 1, 2) select count(*) as groups, count(*) filter (n > 1) as redundant, sum(n)::bigint as frames from x", ("shots",))
+def redundant_groups(spark, d):
+    f = frame(spark, d, "shots").where("captured_at is not null").withColumn("burst_id", F.xxhash64("camera", F.expr("captured_at div 3600")))
+    return sessions.redundant(f).agg(F.count("*").alias("groups"), F.count_if("redundant").alias("redundant"), F.sum("size").alias("frames"))
+
+
+@query("select id, row_number() over (order by confidence desc, id) as k from (select f.id, f.id * 37 % 101 / 1e0 as confidence from t_face f join t_file x on x.id = f.file_id where x.photo_id in (select min(x.photo_id) from t_face f join t_file x on x.id = f.file_id))", ("face", "file"))
+def faces_by_confidence(spark, d):
+    f = frame(spark, d, "face").select("id", "file_id", *(F.lit(0.0).alias(c) for c in ("x", "y", "width", "height")), (F.col("id") * 37 % 101 / 1.0).alias("confidence"))
+    x = frame(spark, d, "file").dropDuplicates(["id"])
+    one = f.join(x.select(F.col("id").alias("file_id"), "photo_id"), "file_id").agg(F.min("photo_id")).first()[0]
+    return people.faces_for_photo(f, x, one).select("id", F.expr("row_number() over (order by confidence desc, id)").alias("k"))  # one photograph's faces
+
+
+@query("select name, confidence, row_number() over (order by confidence desc, name) as k from (select lower(trim(name)) as name, max(confidence) as confidence from t_tag where photo_id = 7 group by 1)", ("tag",))
+def tags_by_confidence(spark, d):
+    t = tables.dedupe_tags(frame(spark, d, "tag")).withColumn("model", F.lit("m"))
+    return reads.tags_for_photo(t, 7).select("name", "confidence", F.expr("row_number() over (order by confidence desc, name)").alias("k"))  # one photograph's tags
+
+
+@query("+ t as (select distinct photo_id from t_tag where lower(trim(name)) = 'click') select id from t_photo where trashed_at is null and id in (select photo_id from t)", ("tag", "photo"))
+def photos_with_tag(spark, d):
+    t = frame(spark, d, "tag").withColumn("name", media.tag_name(F.col("name")))
+    return reads.photos_with_tag(t, frame(spark, d, "photo"), "click")
+
+
+@query("select id, dir, stem, state from t_photo where id % 5 = 0", ("photo",))
+def photos_needing_review(spark, d):
+    return reads.needing_review(frame(spark, d, "photo").withColumn("needs_review", F.col("id") % 5 == 0))
