@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import fotolith.plans.catalog_queries  # noqa: F401  registers its queries
 from fotolith.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
