@@ -268,13 +268,17 @@ def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))))
 
 
+def _count(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["k"] == kind)).cast("long")
+
+
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans of each row."""
     model = model or fit(docs, text)
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`"), t.alias("__t")).withColumn("__base", base_spans(F.col("__t")))
     rows = rows.withColumn("__all", all_spans(F.col("__t"), F.col("__base"), model))
-    counts = [F.size(F.filter("__base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [_count(F.col("__base"), k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return rows.select(F.col(f"`{key}`"), *counts, F.sha2(_joined(F.col("__base")), 256).alias("base_sha256"), _joined(F.col("__all")).alias("spans"))
 
 
