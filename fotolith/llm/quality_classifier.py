@@ -12,8 +12,9 @@ label if there are enough. Labels, language, source and doc_id are not inputs of
 
 Defined results: null texts count as empty; a text without terms, or with no similar neighbour, gets the share of label
 1 among the sample; without any labels that is 0.5. Labels other than 0 and 1, null labels and labels of unknown
-documents are not used; of several labels of a document the smallest counts. Repeated rows give a row each; ties among
-neighbours go to the earlier in the sample. Extra columns are not read. An empty table gives an empty result.
+documents are not used; of several labels of a document the smallest counts, of several texts of a labelled doc_id the
+smallest is learned from. Repeated rows give a row each; ties among neighbours go to the earlier in the sample. Very
+long texts are read whole. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -79,6 +80,7 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from tk.slices(whole.slice(k, _ROWS), "text", 1 << 20)
 
 
+@tk.tidy
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found, n = np.zeros(DIMS_RAW, np.int64), 0
     for batch in _small(batches):
@@ -88,6 +90,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(range(DIMS_RAW + 1), pa.int32()), pa.array(np.append(found, n))], names=["term", "n"])
 
 
+@tk.tidy
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _small(batches):
         x = features(batch.column("text")).astype(np.float16)
@@ -147,7 +150,7 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column | None = None,
     if not rows:
         return Model(weights, np.zeros((DIMS_RAW, 1), np.float32), np.empty((0, 1), np.float32), np.empty(0), 0.5, s.neighbours)
     sample = spark.createDataFrame(rows, "doc_id long, y int")  # at most s.sample rows
-    joined = documents.select(F.col("doc_id").cast("long"), text).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    joined = documents.select(F.col("doc_id").cast("long"), text).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     got = sorted((r.doc_id, r.y, bytes(r.x)) for r in joined.mapInArrow(_vectors, "doc_id long, y int, x binary").collect())
     if not got:
         return Model(weights, np.zeros((DIMS_RAW, 1), np.float32), np.empty((0, 1), np.float32), np.empty(0), 0.5, s.neighbours)
@@ -158,6 +161,7 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column | None = None,
     return Model(weights, axes, _unit(x @ axes), y, float(y.mean()), s.neighbours)
 
 
+@tk.tidy
 def _score(batches: Iterator[pa.RecordBatch], model, keep: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in _small(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.value.score(batch.column("text")))], names=[*keep, "score"])

@@ -5,7 +5,8 @@ text's characters lies inside duplicated word n-grams and duplicated lines. A ro
 there is no shuffle: one Arrow pass in, one out, and a lost executor only repeats its own partitions.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept; white-space-only texts
-likewise. Repeated rows are judged alike, one result row for each input row. Other columns of the input pass through
+likewise. Very long texts are measured whole, in memory in proportion to the longest. Repeated rows are judged alike, one
+result row for each input row. Shares equal to a limit pass it. Other columns of the input pass through
 ``annotate``; output columns of the same name replace them. An empty table gives an empty result.
 """
 
@@ -90,6 +91,7 @@ def judge(m: dict[str, np.ndarray], rules: Rules) -> tuple[np.ndarray, np.ndarra
     return failed, ~bad
 
 
+@tk.tidy
 def _rows(batches: Iterator[pa.RecordBatch], rules: Rules, text: str, keep: list[str], names: list[str], only_kept: bool) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in tk.slices(whole, text):
