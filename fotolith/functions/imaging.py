@@ -102,6 +102,11 @@ def gradient_mean(img: np.ndarray, r: Region) -> float:
     return 0.0 if g is None else float(np.hypot(*g).mean())
 
 
+def contrast(img: np.ndarray, r: Region, sigma: float) -> float:
+    """The mean gradient beyond that of noise."""
+    return max(gradient_mean(img, r) - SOBEL_GAIN * sigma, 0.0)
+
+
 def directional_energy(img: np.ndarray, r: Region) -> tuple[float, float]:
     g = _sobel(img, r)
     return (0.0, 0.0) if g is None else (float((g[0] ** 2).sum()), float((g[1] ** 2).sum()))
@@ -131,20 +136,18 @@ def tile_variation(img: np.ndarray, r: Region, tiles: int = 4) -> float:
 
 def salient_region(img: np.ndarray, nx: int = 16, ny: int = 12, share: float = 0.25) -> Region | None:
     """The box around tiles of much detail, a tile wider; None if that is about everything or nothing."""
-    w, h = img.shape[1] // nx, img.shape[0] // ny
-    if w < 3 or h < 3:
+    size = np.array([img.shape[1] // nx, img.shape[0] // ny])
+    if size.min() < 3:
         return None
-    e = np.array([[laplacian_variance(img, (i * w, j * h, w, h)) for i in range(nx)] for j in range(ny)])
-    if e.max() <= 0:
+    w, h = size.tolist()
+    detail = np.array([laplacian_variance(img, (x * w, y * h, w, h)) for y in range(ny) for x in range(nx)]).reshape(ny, nx)
+    strong = (detail >= detail.max() * share) & (detail > 0)
+    if not strong.any() or strong.sum() * 10 >= strong.size * 9:
         return None
-    strong = e >= e.max() * share
-    if strong.sum() * 10 >= strong.size * 9:
-        return None
-    j, i = np.nonzero(strong)
-    x0, y0 = max(i.min() - 1, 0) * w, max(j.min() - 1, 0) * h
-    x1, y1 = min((i.max() + 2) * w, img.shape[1]), min((j.max() + 2) * h, img.shape[0])
-    r = int(x0), int(y0), int(max(x1 - x0, 1)), int(max(y1 - y0, 1))
-    return None if r[2] * r[3] * 10 >= img.size * 9 else r
+    tiles = np.argwhere(strong)[:, ::-1]
+    low = np.maximum(tiles.min(0) - 1, 0) * size
+    box = np.maximum(np.minimum((tiles.max(0) + 2) * size, [img.shape[1], img.shape[0]]) - low, 1)
+    return None if box.prod() * 10 >= img.size * 9 else (*low.tolist(), *box.tolist())
 
 
 def choose_region(img: np.ndarray, faces: list[Region] | None = None) -> tuple[Region, str]:
@@ -161,38 +164,29 @@ def choose_region(img: np.ndarray, faces: list[Region] | None = None) -> tuple[R
     return ((w - cw) // 2, (h - ch) // 2, cw, ch), "centre"
 
 
+#: What ``focus`` gives.
+SHARPNESS = ("focus", "signal_variance", "anisotropy", "noise_sigma")
+
+
+def _sharpness(pic: np.ndarray, r: Region, sigma: float, fine: float) -> tuple[float, ...]:
+    """The measures of a region at one scale; what noise alone would give is taken off, and a signal no stronger than the
+    picture's ``fine`` noise counts for little."""
+    signal = max(laplacian_variance(pic, r) - LAPLACE_GAIN * sigma**2, 0.0)
+    spread = max(luma_variance(pic, r) - sigma**2, 0.0)
+    weak, strong = sorted(directional_energy(pic, r))
+    sure = signal / (signal + max(LAPLACE_GAIN * fine**2, 1e-9))
+    return signal / spread * sure if spread > LEAST_VARIANCE else 0.0, signal, max(strong / weak, 1.0) if weak > _EPS else 1.0, sigma
+
+
 def focus(img: np.ndarray, faces: list[Region] | None = None) -> dict[str, float]:
-    """Focus measures at the better of two scales."""
+    """Sharpness of the subject at the better of two scales."""
     work = working_copy(img)
-    roi, source = choose_region(work, faces)
+    roi, _ = choose_region(work, faces)
     fine = noise_sigma(work, full(work))
-    best: dict[str, float] | None = None
-    for factor in (1, 2):
-        pic = work if factor == 1 else box_downscale(work, 2)
-        r = roi if factor == 1 else (roi[0] // 2, roi[1] // 2, max(roi[2] // 2, 3), max(roi[3] // 2, 3))
-        if r[2] < 3 or r[3] < 3:
-            continue
-        sigma = fine if factor == 1 else noise_sigma(pic, full(pic))
-        raw = laplacian_variance(pic, r)
-        signal = max(raw - LAPLACE_GAIN * sigma**2, 0.0)
-        spread = max(luma_variance(pic, r) - sigma**2, 0.0)
-        sure = signal / (signal + max(LAPLACE_GAIN * fine**2, 1e-9))
-        ex, ey = directional_energy(pic, r)
-        hi, lo = max(ex, ey), min(ex, ey)
-        m = {
-            "scale": float(factor),
-            "raw_variance": raw,
-            "noise_sigma": sigma,
-            "signal_variance": signal,
-            "contrast": max(gradient_mean(pic, r) - SOBEL_GAIN * sigma, 0.0),
-            "luma_variance": spread,
-            "focus": 0.0 if spread <= LEAST_VARIANCE else signal / spread * sure,
-            "anisotropy": 1.0 if lo <= _EPS else max(hi / lo, 1.0),
-            "tile_variation": tile_variation(pic, r),
-        }
-        if best is None or m["focus"] > best["focus"]:
-            best = m
-    return best or {"scale": 1.0, "raw_variance": 0.0, "noise_sigma": fine, "signal_variance": 0.0, "contrast": 0.0, "luma_variance": 0.0, "focus": 0.0, "anisotropy": 1.0, "tile_variation": 0.0}
+    half = box_downscale(work, 2)
+    scales = [(work, roi, fine), (half, (roi[0] // 2, roi[1] // 2, max(roi[2] // 2, 3), max(roi[3] // 2, 3)), noise_sigma(half, full(half)))]
+    found = [_sharpness(pic, r, sigma, fine) for pic, r, sigma in scales if min(r[2:]) >= 3]
+    return dict(zip(SHARPNESS, max(found, key=lambda x: x[0], default=(0.0, 0.0, 1.0, fine)), strict=True))
 
 
 def exposure(img: np.ndarray, r: Region, black: float = 0.0, white: float = 255.0) -> dict[str, float]:
