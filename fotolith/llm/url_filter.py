@@ -4,16 +4,17 @@ Rules decide what they fit. Their decisions are the training text of two smoothe
 accepted and one of rejected URLs: character counts in contexts of up to ``order`` characters, interpolated from the
 longest context seen down to the uniform distribution (Witten-Bell). They read the whole URL, scheme, query and fragment
 included, with the case of scheme and host ignored; only the rules look at host and path alone. The score of a URL is
-the difference of its two log-likelihoods per character. The threshold is calibrated on a fifth of the decided URLs, which the models don't see,
-as the point between both means weighted by their spread.
+the difference of its two log-likelihoods per character. The threshold is calibrated on a fifth of the decided URLs,
+which the models don't see, as the point between both means weighted by their spread.
 
 Everything is counted over all rows. Equal URLs are one row with a weight; n-grams are combined before the shuffle, and
-contexts meet their counts in equi joins, so no side is broadcast unless the planner measures it as small.
+contexts meet their counts in equi joins. Broadcast are the counts of single characters and the ratios of the ``COMMON``
+commonest grams, both of bounded size, and what the planner measures as small.
 
 Defined results: no "://" or a null URL gives empty host and path, no rule, and the score of empty text, 0. Ties at the
 threshold allow. With no decided URL on one side nothing can be learned: scores and the threshold are 0, which allows.
-Repeated rows give a row each. Columns of the input other than the two named are not read. Empty tables give empty
-results.
+Repeated rows give a row each. Very long URLs are read whole, in time and shuffled bytes in proportion to their length.
+Columns of the input other than the two named are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from fotolith.llm.scratch import Scratch
 
+#: How many of the commonest grams have their ratios broadcast.
+COMMON = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,7 +50,7 @@ RULES = (
     Rule(True, "org", "/"),
     Rule(False, "example.org", "/es/"),
     Rule(False, "example.org", "/en/1"),
-    Rule(True, "com", "/fr"),
+    Rule(True, "com", "/fr/"),
     Rule(False, "com", "/de/"),
 )
 
@@ -75,35 +78,48 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
     return out if out is not None else F.lit(None).cast("int")
 
 
-def _grams(urls: DataFrame, order: int) -> DataFrame:
-    """(context of ``order`` characters, character) at each place of each URL, which is padded in front."""
+def _grams(urls: DataFrame, order: int, *keep: str) -> DataFrame:
+    """The columns ``keep``, gram (``order`` characters and the one after them) for each place of the
+    URL, which is padded in front. Characters are split once, as taking each substring would count from the front."""
     padded = F.concat(F.lit("\x02" * order), F.col("body"), F.lit("\x03"))
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("body") + 1), lambda i: F.substring(padded, i, order + 1)))
-    return urls.select("*", at.alias("place", "gram"))
+    chars = F.regexp_extract_all(padded, F.lit("(?s)."), F.lit(0))
+    split = urls.select(*keep, chars.alias("__chars"))
+    own = F.transform(F.sequence(F.lit(1), F.size("__chars") - order), lambda i: F.array_join(F.slice("__chars", i, F.lit(order + 1)), ""))
+    return split.select(*keep, F.explode(own).alias("gram"))
 
 
 def _model(decided: DataFrame, order: int) -> DataFrame:
     """(gram of order + 1 characters, yes, no): counts in accepted and rejected URLs."""
-    return _grams(decided, order).groupBy("gram").agg(F.sum(F.when(F.col("allow"), F.col("weight")).otherwise(0)).alias("yes"), F.sum(F.when(~F.col("allow"), F.col("weight")).otherwise(0)).alias("no"))
+    return _grams(decided, order, "allow", "weight").groupBy("gram").agg(F.sum(F.when(F.col("allow"), F.col("weight")).otherwise(0)).alias("yes"), F.sum(F.when(~F.col("allow"), F.col("weight")).otherwise(0)).alias("no"))
 
 
 def _ratios(grams: DataFrame, model: DataFrame, order: int, alphabet: int) -> DataFrame:
-    """(gram, ratio): the log of the two models' probabilities of a gram's last character after the rest."""
-    out = grams
-    p = {c: F.lit(1.0 / alphabet) for c in ("yes", "no")}
-    for k in range(order + 1):
-        g = model.groupBy(F.right("gram", F.lit(k + 1)).alias("g")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-        context = g.groupBy(F.left("g", F.lit(k)).alias("c")).agg(*(f(c).alias(f"{n}_{c}") for c in ("yes", "no") for n, f in (("total", F.sum), ("kinds", lambda c: F.count_if(F.col(c) > 0)))))
-        key = F.right("gram", F.lit(k + 1))
-        out = out.withColumns({"g": key, "c": F.left(key, F.lit(k))}).join(g, "g", "left").join(context, "c", "left")
-        done = {}
-        for c in ("yes", "no"):
-            total, kinds = F.coalesce(f"total_{c}", F.lit(0)), F.coalesce(f"kinds_{c}", F.lit(0))
-            seen = (F.coalesce(c, F.lit(0)) + kinds * p[c]) / F.greatest(total + kinds, F.lit(1))
-            done[f"p_{c}"] = F.when(total > 0, seen).otherwise(p[c])
-        out = out.withColumns(done).select("gram", "p_yes", "p_no")
-        p = {c: F.col(f"p_{c}") for c in ("yes", "no")}
-    return out.select("gram", (F.log("p_yes") - F.log("p_no")).alias("ratio"))
+    """(gram, ratio): the log of the two models' probabilities of a gram's last character after the rest.
+
+    All context lengths are looked up together: a gram's ends meet the counts of ends, and what stands before their last
+    characters meets the counts of contexts, in one join each. The empty context would be one key of all rows; its one
+    row is broadcast, as are the counts of single characters, of which there are 1,114,112 at the most."""
+    ends = F.transform(F.sequence(F.lit(1), F.lit(order + 1)), lambda k: F.right("gram", k))
+    seen = model.select(F.explode(ends).alias("g"), "yes", "no").groupBy("g").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    context = F.left("g", F.length("g") - 1).alias("c")
+    sums = [f(c).alias(f"{n}_{c}") for c in ("yes", "no") for n, f in (("total", F.sum), ("kinds", lambda c: F.count_if(F.col(c) > 0)))]
+    names = [f"{n}{c}" for c in ("yes", "no") for n in ("", "total_", "kinds_")]
+    single = seen.where(F.length("g") == 1)
+    every = single.agg(*sums)  # one row
+    wide = grams.select("gram", F.right("gram", F.lit(1)).alias("g")).join(F.broadcast(single), "g", "left").crossJoin(F.broadcast(every)).select("gram", *(F.col(n).alias(f"{n}0") for n in names))
+    if order:
+        longer = seen.where(F.length("g") > 1)
+        keys = grams.select("gram", F.posexplode(F.slice(ends, 2, order)).alias("k", "g")).select("gram", (F.col("k") + 1).alias("k"), "g", context)
+        found = keys.join(longer, "g", "left").join(longer.groupBy(context).agg(*sums), "c", "left")
+        more = found.groupBy("gram").agg(*(F.max(F.when(F.col("k") == k, F.col(n))).alias(f"{n}{k}") for k in range(1, order + 1) for n in names))
+        wide = wide.join(more, "gram")
+    p = {}
+    for c in ("yes", "no"):
+        p[c] = F.lit(1.0 / alphabet)
+        for k in range(order + 1):
+            total, kinds = F.coalesce(f"total_{c}{k}", F.lit(0)), F.coalesce(f"kinds_{c}{k}", F.lit(0))
+            p[c] = F.when(total > 0, (F.coalesce(f"{c}{k}", F.lit(0)) + kinds * p[c]) / (total + kinds)).otherwise(p[c])
+    return wide.select("gram", (F.log(p["yes"]) - F.log(p["no"])).alias("ratio"))
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES, order: int = 4, alphabet: int = 256, fold: int = 5) -> DataFrame:
@@ -119,10 +135,20 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple
     urls = s.write(urls, "urls")
     decided = urls.where("allow is not null and body != ''")
     model = s.write(_model(decided.where("not held"), order), "model")
-    grams = s.write(_grams(urls.where("body != ''").select("body"), order).select("body", "gram"), "grams")
-    ratios = _ratios(grams.select("gram").distinct(), model, order, alphabet)
-    scores = grams.join(ratios, "gram").groupBy("body").agg((F.sum("ratio") / F.count("*")).alias("score"))
-    scores = s.write(urls.select("body", "allow", "held", "weight").join(scores, "body", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9)), "scores")
+    # a URL's grams carry 128 bits of its digest instead of the URL, so a long one costs no more a character
+    own = F.substring(F.sha2("body", 256), 1, 32).alias("own")
+    grams = s.write(_grams(urls.where("body != ''").select(own, "body"), order, "own"), "grams")
+    known = s.write(grams.groupBy("gram").agg(F.count("*").alias("places")), "known")
+    ratios = s.write(_ratios(known.select("gram"), model, order, alphabet), "ratios")
+    # the commonest grams ("http" at the front) would each send a row of every URL to one task: their ratios go to the rows
+    common = known.orderBy(F.desc("places"), "gram").limit(COMMON).join(ratios, "gram").select("gram", F.col("ratio").alias("common"))
+    marked = grams.join(F.broadcast(common), "gram", "left")
+    sums = [F.sum("ratio").alias("total"), F.count("*").alias("places")]
+    near = marked.where("common is not null").withColumnRenamed("common", "ratio").groupBy("own").agg(*sums)
+    far = marked.where("common is null").join(ratios, "gram").groupBy("own").agg(*sums)
+    scores = near.union(far).groupBy("own").agg((F.sum("total") / F.sum("places")).alias("score"))
+    scores = s.write(urls.select("body", "allow", "held", "weight", own).join(scores, "own", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9)).drop("own"), "scores")
+    s.drop("urls", "model", "grams", "known", "ratios")
     limit, trained = _calibrated(scores)
     scored = scores.select("body", F.when(F.lit(trained), F.col("score")).otherwise(0.0).alias("score"))
     names = F.array(*(F.lit(r.text) for r in rules)) if rules else F.array().cast("array<string>")
