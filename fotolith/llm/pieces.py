@@ -18,7 +18,7 @@ read as a space, as the library does.
 Defined results: null and empty texts have no ids. Repeated rows give a row each; extra columns pass through, but columns
 of the input named n_tokens, token_ids or round_trip are replaced; empty tables give empty results. Very long texts are
 encoded whole, in memory in proportion to the longest text. Memory besides: at most ``CACHE`` words (those of a slice if
-they are more), ``BORDERS`` borders and ``STEPS`` steps of the automaton are kept, until the task ends.
+they are more) are kept until the task ends, ``BORDERS`` borders and ``STEPS`` steps of the automaton for later tasks.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from fotolith.llm import textkernel as tk
 
 MARK = "▁"
-CACHE, BORDERS, STEPS = 150_000, 400_000, 400_000
+CACHE, BORDERS, STEPS = 300_000, 400_000, 400_000
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SLICE = 1 << 21
 _SPACE = 32
@@ -42,6 +42,7 @@ _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 #: A character that no piece is, as an item of a path.
 _OTHER = -1
+_kept: list[tuple[bytes, PieceModel]] = []
 
 
 class PieceModel:
@@ -79,6 +80,13 @@ class PieceModel:
         self._forget_steps()
         self._forget_words()
 
+    @staticmethod
+    def of(raw: bytes) -> PieceModel:
+        """The worker's model: its automaton and borders, which are bounded, serve later tasks too."""
+        if not _kept or _kept[0][0] != raw:
+            _kept[:] = [(raw, PieceModel(raw))]
+        return _kept[0][1]
+
     def _forget_steps(self) -> None:
         self.states: dict[str, int] = {"": 0}
         self.names = [""]
@@ -285,15 +293,18 @@ class PieceModel:
 
 @tk.tidy
 def _encode(batches: Iterator[pa.RecordBatch], raw, text: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    model = PieceModel(raw.value)
-    for whole in batches:
-        for batch in tk.slices(whole, text, _SLICE):
-            column = batch.column(text).fill_null("")
-            ids, offsets = model.encode(column)
-            back, bounds = model.decode(ids, offsets)
-            ok = _rows_equal(back, bounds, *tk.flat(pc.replace_substring(column, MARK, " ")))
-            listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.diff(offsets)), listed, pa.array(ok)], names=[*keep, "n_tokens", "token_ids", "round_trip"])
+    model = PieceModel.of(raw.value)
+    try:
+        for whole in batches:
+            for batch in tk.slices(whole, text, _SLICE):
+                column = batch.column(text).fill_null("")
+                ids, offsets = model.encode(column)
+                back, bounds = model.decode(ids, offsets)
+                ok = _rows_equal(back, bounds, *tk.flat(pc.replace_substring(column, MARK, " ")))
+                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.diff(offsets)), listed, pa.array(ok)], names=[*keep, "n_tokens", "token_ids", "round_trip"])
+    finally:
+        model._forget_words()
 
 
 def _rows_equal(a: np.ndarray, ao: np.ndarray, b: np.ndarray, bo: np.ndarray) -> np.ndarray:
@@ -322,7 +333,7 @@ def encode(df: DataFrame, text: str = "text", model: str = DEFAULT_MODEL, keep:
 
 @tk.tidy
 def _decode(batches: Iterator[pa.RecordBatch], raw, ids: str, keep: list[str], to: str) -> Iterator[pa.RecordBatch]:
-    model = PieceModel(raw.value)
+    model = PieceModel.of(raw.value)
     for whole in batches:
         for k in range(0, whole.num_rows, 1000):
             batch = whole.slice(k, 1000)
