@@ -88,14 +88,24 @@ def stats(cache: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def trimmed(cache: DataFrame, keep: int) -> DataFrame:
-    """Files (path, size, mtime) to delete so that the newest ``keep`` stay; of equal age the first by path stay. The newest
-    are a top-k, whatever the cache's size."""
+    """Files (path, size, mtime) to delete so that the newest ``keep`` stay; of equal age the first by path stay, then the
+    lowest in the other columns. A row that is there several times counts as often, so exactly ``keep`` rows stay. The
+    newest are a top-k, whatever the cache's size."""
     if keep <= 0:
         return cache
-    last = cache.orderBy(F.desc("mtime"), "path").limit(keep).agg(F.min(F.struct("mtime")).alias("x"), F.count("*").alias("n")).select(F.col("x.mtime").alias("__m"), "n")
-    edge = cache.orderBy(F.desc("mtime"), "path").limit(keep).select("mtime", F.col("path").alias("__p"))
-    edge = edge.join(F.broadcast(last), edge["mtime"] == last["__m"]).agg(F.max("__m").alias("__m"), F.max("__p").alias("__p"))  # one row
-    return cache.crossJoin(F.broadcast(edge)).where((F.col("mtime") < F.col("__m")) | ((F.col("mtime") == F.col("__m")) & (F.col("path") > F.col("__p")))).select(cache.columns)
+    columns = ["mtime", "path", *(c for c in cache.columns if c not in ("mtime", "path"))]
+    kept = cache.orderBy(F.desc("mtime"), *columns[1:]).limit(keep).groupBy(*columns).agg(F.count("*").alias("__kept"))
+    edge = kept.orderBy(F.asc("mtime"), *map(F.desc, columns[1:])).limit(1)
+    rows = cache.crossJoin(F.broadcast(edge.select("__kept", *(F.col(c).alias(f"__{c}") for c in columns))))  # one row
+    after, same = F.lit(False), F.lit(True)
+    for c in columns:
+        mine, last = F.col(c), F.col(f"__{c}")
+        # nulls are the oldest, and first in the other columns
+        further = (mine < last) | (mine.isNull() & last.isNotNull()) if c == "mtime" else (mine > last) | (mine.isNotNull() & last.isNull())
+        after, same = after | (same & F.coalesce(further, F.lit(False))), same & mine.eqNullSafe(last)
+    copies = rows.where(same).groupBy(*columns, "__kept").agg(F.count("*").alias("__n")).where("__n > __kept")
+    copies = copies.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n") - F.col("__kept"))))
+    return rows.where(after).select(cache.columns).unionByName(copies.select(cache.columns))
 
 
 def delete(files: DataFrame) -> int:

@@ -236,6 +236,15 @@ def test_thumbnails(spark, tmp_path):
     assert thumbs.delete(thumbs.trimmed(have, 0)) == 1 and (tmp_path / "cache" / "stray.jpg").exists()
 
 
+def test_trimming_keeps_exactly_so_many(spark):
+    old = [("a", 1, 5), ("b", 1, 9), ("b", 1, 9), ("b", 1, 9), ("b", 2, 9), ("c", 1, 9), ("c", 1, None), (None, 1, 9)]
+    order = sorted(old, key=lambda r: (r[2] is None, -(r[2] or 0), r[0] is not None, r[0] or "", r[1]))
+    cache = spark.createDataFrame(old, "path string, size long, mtime long")
+    for keep in range(len(old) + 2):
+        got = [tuple(r) for r in thumbs.trimmed(cache, keep).collect()]
+        assert sorted(got, key=str) == sorted(order[keep:], key=str), keep
+
+
 # passes -----------------------------------------------------------------------------------------------------------
 
 
