@@ -317,7 +317,7 @@ def redundant_groups(spark, d):
 @query("select id, row_number() over (order by confidence desc, id) as k from (select f.id, f.id * 37 % 101 / 1e0 as confidence from t_face f join t_file x on x.id = f.file_id where x.photo_id in (select min(x.photo_id) from t_face f join t_file x on x.id = f.file_id))", ("face", "file"))
 def faces_by_confidence(spark, d):
     f = frame(spark, d, "face").select("id", "file_id", *(F.lit(0.0).alias(c) for c in ("x", "y", "width", "height")), (F.col("id") * 37 % 101 / 1.0).alias("confidence"))
-    x = frame(spark, d, "file").dropDuplicates(["id"])
+    x = frame(spark, d, "file")
     one = f.join(x.select(F.col("id").alias("file_id"), "photo_id"), "file_id").agg(F.min("photo_id")).first()[0]
     return people.faces_for_photo(f, x, one).select("id", F.expr("row_number() over (order by confidence desc, id)").alias("k"))  # one photograph's faces
 

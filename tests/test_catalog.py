@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fotolith.__main__ import run
-from fotolith.operators import decisions, grid, numbering, passes, ranks, tables, trash, vectors
+from fotolith.operators import decisions, grid, numbering, passes, people, ranks, tables, trash, vectors
 from fotolith.plans.catalog import Catalog
 from fotolith.plans.checkpoint import cutter
 from fotolith.plans.library import Library
@@ -245,6 +245,12 @@ def test_trimming_keeps_exactly_so_many(spark):
         assert sorted(got, key=str) == sorted(order[keep:], key=str), keep
 
 
+def test_faces_of_repeated_file_rows(spark):
+    faces = spark.createDataFrame([(1, 10, 0.5), (2, 11, 0.9), (3, 12, 0.7)], "id long, file_id long, confidence double").selectExpr("*", "0e0 as x", "0e0 as y", "0e0 as width", "0e0 as height")
+    rows = spark.createDataFrame([(10, 1), (10, 1), (11, 1), (12, 2)], "id long, photo_id long")
+    assert [r.id for r in people.faces_for_photo(faces, rows, 1).collect()] == [2, 1, 1]
+
+
 # passes -----------------------------------------------------------------------------------------------------------
 
 
