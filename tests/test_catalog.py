@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import struct
 import threading
 
@@ -14,6 +15,7 @@ from fotolith.operators import decisions, grid, numbering, passes, people, ranks
 from fotolith.plans.catalog import Catalog
 from fotolith.plans.checkpoint import cutter
 from fotolith.plans.library import Library
+from fotolith.plans.queries import QUERIES
 from fotolith.sources import files, thumbs
 from fotolith.streaming import progress, settle
 
@@ -251,6 +253,13 @@ def test_faces_of_repeated_file_rows(spark):
     assert [r.id for r in people.faces_for_photo(faces, rows, 1).collect()] == [2, 1, 1]
 
 
+def test_both_sides_take_the_same_row_of_an_id(spark, sf_dir):
+    """Rows of one path and id that come in any order: the windows order them by what differs."""
+    plan = QUERIES["reconcile_files"](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
+    windows = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*)", plan)
+    assert windows and all("size_bytes" in w and "mtime_ns" in w for w in windows)
+
+
 # passes -----------------------------------------------------------------------------------------------------------
 
 
