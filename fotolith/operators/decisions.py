@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from fotolith.operators.vectors import components
 
 _RAW_FIRST = "case when role = 'raw' then 0 else 1 end"
+_LAST = (1 << 63) - 1
 
 
 def identities(files: DataFrame) -> DataFrame:
@@ -50,25 +52,63 @@ def orphaned(decisions: DataFrame, photos: DataFrame) -> DataFrame:
 
 
 def _in_turn(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One after the other, each decision takes the first photograph that is still free."""
+    """One after the other, each decision takes the first photograph that is still free. What a list has passed is taken,
+    so no list is read twice."""
     out, taken = [], set()
-    heirs = {k: g.sort_values(["rank", "heir_id"])["heir_id"].tolist() for k, g in pdf[pdf["heir_id"].notna()].groupby(["s", "m"])}
-    for d in pdf[pdf["photo_id"].notna()].sort_values("photo_id").itertuples():
-        free = next((h for h in heirs.get((d.s, d.m), ()) if h not in taken), None)
+    h = pdf[pdf["rank"] >= 0].sort_values(["rank", "id"])
+    heirs = {k: iter(g.tolist()) for k, g in h.groupby(["s", "m"])["id"]}
+    for p, s, m in pdf[pdf["rank"] < 0].sort_values(["id", "s", "m"])[["id", "s", "m"]].itertuples(index=False, name=None):
+        free = next((x for x in heirs.get((s, m), ()) if x not in taken), None)
         if free is not None:
             taken.add(free)
-            out.append((int(d.photo_id), int(free)))
+            out.append((p, free))
     return pd.DataFrame(out, columns=["photo_id", "heir_id"]).astype("int64")
 
 
-def adopt(doomed: DataFrame, heirs: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The decisions of one size and time in order ask the first photograph that the one before hasn't passed and that no
+    earlier decision of another size or time holds (``before``: it is held against decisions after this)."""
+    h = pdf[pdf["rank"] >= 0].sort_values(["rank", "id"])
+    left = zip(h["id"].tolist(), h["before"].tolist())
+    photos, asked = [], []
+    for p in np.sort(pdf.loc[pdf["rank"] < 0, "id"].to_numpy()).tolist():
+        free = next((x for x, before in left if before >= p), None)
+        if free is None:
+            break
+        photos.append(p)
+        asked.append(free)
+    return pd.DataFrame({"photo_id": photos, "s": pdf["s"].iat[0], "m": pdf["m"].iat[0], "heir_id": asked}).astype("int64")
+
+
+def _in_rounds(rows: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``_in_turn`` gives, a task for each size and time. In every round all decisions ask; a photograph is held by the
+    earliest that asked it, and the others ask further on. A photograph only changes to an earlier decision, so the rounds
+    end, and the end is unique: it is what taking turns gives."""
+    held = None
+    while True:
+        free = F.lit(_LAST).alias("before")
+        if held is None:
+            asking = rows.select("s", "m", "id", "rank", free)
+        else:
+            # of equal photo_ids, the smaller size and time comes first
+            before = F.when(F.struct("by.s", "by.m") < F.struct("s", "m"), F.col("by.photo_id") - 1).otherwise(F.col("by.photo_id"))
+            kept = rows.where("rank >= 0").join(held.select(F.col("heir_id").alias("id"), "by"), "id", "left")
+            asking = kept.select("s", "m", "id", "rank", F.coalesce(before, F.lit(_LAST)).alias("before")).unionByName(rows.where("rank < 0").select("s", "m", "id", "rank", free))
+        asked = checkpoint(asking.groupBy("s", "m").applyInPandas(_ask, "photo_id long, s long, m long, heir_id long"))
+        held = asked.groupBy("heir_id").agg(F.min(F.struct("photo_id", "s", "m")).alias("by"), F.count("*").alias("n"))
+        if held.where("n > 1").isEmpty():
+            return asked.select("photo_id", "heir_id")
+
+
+def adopt(doomed: DataFrame, heirs: DataFrame, checkpoint: Callable[[DataFrame], DataFrame], in_turn: int = 100_000) -> DataFrame:
     """(photo_id, heir_id): decisions whose photograph is going move to a photograph without one that has a file of the
     same size and time. doomed: photo_id, source_size, source_mtime; heirs: photo_id, role, size_bytes, mtime_ns.
 
     In the order of photo_id each decision takes one heir, raw files first, then the lowest photo_id, and no heir is
     taken twice. Where every photograph that fits has one fitting size and time only, the k-th decision takes the
     k-th heir, by windows. Photographs with several (a raw and its rendering) tie sizes and times together; those
-    are dealt with in turn, a task for each set of sizes and times that hang together.
+    are dealt with in turn, a task for each set of sizes and times that hang together, and in rounds where such a set
+    has more than ``in_turn`` rows.
     """
     key = ["s", "m"]
     d = doomed.select("photo_id", F.col("source_size").alias("s"), F.col("source_mtime").alias("m")).where("s is not null and m is not null")
@@ -80,7 +120,11 @@ def adopt(doomed: DataFrame, heirs: DataFrame, checkpoint: Callable[[DataFrame],
     plain_d, plain_h = (x.join(tied, "node", "left_anti") for x in (d, h))
     nth = plain_d.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("photo_id")))
     plain = nth.join(plain_h.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("rank", "heir_id"))), [*key, "k"]).select("photo_id", "heir_id")
-    null = F.lit(None).cast("long")
-    rows = d.join(tied, "node").select("component", *key, "photo_id", null.alias("heir_id"), null.cast("int").alias("rank"))
-    rows = rows.unionByName(h.join(tied, "node").select("component", *key, null.alias("photo_id"), "heir_id", "rank"))
-    return plain.unionByName(rows.groupBy("component").applyInPandas(_in_turn, "photo_id long, heir_id long"))
+    rows = d.join(tied, "node").select("component", *key, F.col("photo_id").alias("id"), F.lit(-1).alias("rank"))
+    rows = checkpoint(rows.unionByName(h.join(tied, "node").select("component", *key, F.col("heir_id").alias("id"), "rank")))
+    large = checkpoint(rows.groupBy("component").count().where(F.col("count") > in_turn).select("component"))  # few, as each has so many rows
+    small = rows.join(F.broadcast(large), "component", "left_anti")
+    out = plain.unionByName(small.groupBy("component").applyInPandas(_in_turn, "photo_id long, heir_id long"))
+    if large.isEmpty():
+        return out
+    return out.unionByName(_in_rounds(rows.join(F.broadcast(large), "component", "left_semi"), checkpoint))

@@ -5,8 +5,10 @@ import random
 import re
 import struct
 import threading
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,25 @@ def test_adoption_is_in_turn(spark, seed):
     assert [tuple(r) for r in one.collect()] == [(1, 9)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_adoption_in_rounds_is_in_turn(spark, seed):
+    rng = random.Random(seed)
+    doomed = [(i, rng.randint(1, 6), 1) for i in range(300)]
+    heirs = [(1000 + rng.randint(0, 199), rng.choice(["raw", "raster"]), rng.randint(1, 6), 1) for _ in range(500)]
+    d = spark.createDataFrame(doomed, "photo_id long, source_size long, source_mtime long")
+    h = spark.createDataFrame(heirs, "photo_id long, role string, size_bytes long, mtime_ns long")
+    assert {tuple(r) for r in decisions.adopt(d, h, cutter(spark), in_turn=0).collect()} == in_turn(doomed, heirs)
+
+
+def test_adoption_in_turn_reads_each_list_once():
+    n = 60_000
+    rows = pd.concat([pd.DataFrame({"s": 1, "m": 1, "id": range(n), "rank": -1}), pd.DataFrame({"s": 1, "m": 1, "id": range(n, 2 * n), "rank": 0})])
+    began = time.process_time()
+    out = decisions._in_turn(rows)
+    assert time.process_time() - began < 10
+    assert (out["heir_id"] == out["photo_id"] + n).all() and len(out) == n
+
+
 def test_numbers_and_places(spark):
     rng = random.Random(1)
     values = [rng.choice([0.0, -1.5, 1e300, 1e-12, -7.0, 3.25, float(rng.randint(-50, 50))]) for _ in range(300)]
